@@ -24,11 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+def stash(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    arrow_rows bounds the rows of a batch sent to Python meanwhile, for rows that are large.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenfold/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if arrow_rows:
+            spark.conf.set(key, arrow_rows)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path

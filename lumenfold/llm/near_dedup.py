@@ -17,6 +17,8 @@ from lumenfold.llm.shingles import mixed, shingle_set
 BINS, ROWS = 128, 4
 #: Ids sent to every executor to pick texts during the scan (16 bytes each); beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Members of a bucket that meet in one task, twice.
+BLOCK = 128
 _FRACTION = np.uint64((1 << 48) - 1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = mixed(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -92,7 +94,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
         ids = F.broadcast(ids)
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
     kind = dict(docs.dtypes)["doc_id"]
-    return stash(rows.mapInArrow(run, f"id {kind}, items binary").dropDuplicates(["id"]))
+    return stash(rows.mapInArrow(run, f"id {kind}, items binary").dropDuplicates(["id"]), 1000)
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
@@ -112,7 +114,84 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int) ->
     a_side = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     rows = pairs.join(b_side, "b").join(a_side, "a").select("a", "b", "x", "y")
     kind = dict(docs.dtypes)["doc_id"]
-    return stash(rows.mapInArrow(run, f"a {kind}, b {kind}"))
+    return stash(rows.mapInArrow(run, f"a {kind}, b {kind}"), 500)
+
+
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all pairwise intersections, as products of slices of the incidence matrix."""
+    n = len(sets)
+    items, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    held = times[where] > 1
+    owner, place = owner[held], rank[where[held]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.diag([float(len(s)) for s in sets]).astype(np.float32) * 0
+    for start in range(0, int((times > 1).sum()), columns):
+        lo, hi = np.searchsorted(place, [start, start + columns])
+        grid = np.zeros((n, columns), np.float32)
+        grid[owner[lo:hi], place[lo:hi] - start] = 1
+        out += grid @ grid.T
+    return out.astype(np.int64)
+
+
+def bridges(docs: DataFrame, members: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(a, b): links between ids of different labels that share a key, one for each two labels and block at least.
+
+    members: key, id, label. The members of a key are dealt into hashed blocks, and each two blocks meet in a task
+    with their full sets; so every pair is compared, but none is ever a row, and no task holds a whole hot key.
+    """
+    sets = sets_of(docs, members.select("id").distinct(), shingle)
+    blocks = stash(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    cell = ["key", "i", "j"]
+    rows = (
+        members.join(blocks, "key")
+        .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "label", "mine")
+    )
+    full = stash(rows).join(sets, "id").select(*cell, "id", "label", "mine", "items")
+
+    def linked_in(part: pa.Table) -> pa.RecordBatch | None:
+        n = part.num_rows
+        labels = np.unique(np.array(part.column("label").to_pylist()), return_inverse=True)[1]
+        if n < 2 or labels.max() == 0:
+            return None
+        sets = [np.frombuffer(v, np.uint64) for v in part.column("items").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        both = overlaps(sets)
+        near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        near &= labels[:, None] < labels[None, :]
+        if part.column("i")[0] != part.column("j")[0]:
+            mine = part.column("mine").to_numpy()
+            near &= mine[:, None] != mine[None, :]
+        p, q = np.nonzero(near)
+        if not len(p):
+            return None
+        first = np.unique(labels[p] * (labels.max() + 1) + labels[q], return_index=True)[1]
+        ids = part.column("id").combine_chunks()
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(p[first])), ids.take(pa.array(q[first]))], names=["a", "b"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches sorted by cell; a cell that goes on into the next batch waits for it (2 x BLOCK rows or so)."""
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            marks = np.stack([table.column(c).to_numpy().astype(np.int64) for c in cell])
+            edges = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist()]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if (out := linked_in(table.slice(a, b - a))) is not None:
+                    yield out
+            rest = table.slice(edges[-1])
+        if rest is not None and (out := linked_in(rest)) is not None:
+            yield out
+
+    kind = dict(members.dtypes)["id"]
+    dealt = full.repartition(*cell).sortWithinPartitions(*cell)
+    return stash(dealt.mapInArrow(met, f"a {kind}, b {kind}").distinct(), 500)
 
 
 def near_dedup(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
@@ -124,9 +203,9 @@ def near_dedup(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFram
 
     1. Equal sets fall into one class; only its smallest id goes on.
     2. Classes that share a band are candidates. Buckets are never expanded into pairs: first each member meets the
-       smallest id of the bucket it shares most bands with. Pairs are confirmed on full sets, components are formed,
-       and only what is still in different components within a bucket goes on: by further pivots while these pairs
-       are many, and pair by pair when they are few or the pivots are used up. So no link between components is lost.
+       smallest id of the bucket it shares most bands with, and these pairs are confirmed on full sets.
+    3. Buckets that still hold several components are compared whole, in blocks, for links between components, again
+       on full sets. So every candidate pair is confirmed or lies within a component already.
 
     Rows with one id count as one document; a null id is its own component and never kept. An empty table gives an
     empty result; further columns are ignored.
@@ -149,41 +228,18 @@ def near_dedup(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFram
     voted = members.filter("id != pivot").groupBy("id", "n", "pivot").agg(F.count("*").alias("votes"))
     best = voted.groupBy("id", "n").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("a"))
     pivot_size = size_of.select(F.col("id").alias("a"), F.col("n").alias("m"))
-    tested = stash(stash(best).join(pivot_size, "a").filter(close("n", "m")).select("a", F.col("id").alias("b")).distinct())
-    links = confirmed(docs, tested, percent, shingle)
+    first = stash(stash(best).join(pivot_size, "a").filter(close("n", "m")).select("a", F.col("id").alias("b")).distinct())
+    links = confirmed(docs, first, percent, shingle)
     labels = components(links)
-    most = 4 * members.count()
-    for turn in range(1, 8):
-        now = stash(
-            members.join(labels.select("id", "component"), "id", "left").select(
-                "key", "id", "n", F.coalesce("component", "id").alias("label")
-            )
+    now = stash(
+        members.join(labels.select("id", "component"), "id", "left").select(
+            "key", "id", F.coalesce("component", "id").alias("label")
         )
-        per_label = now.groupBy("key", "label").agg(F.count("*").cast("double").alias("c"))
-        per_key = per_label.groupBy("key").agg((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)).alias("open"))
-        open_keys = stash(per_key.filter("open > 0"))
-        still = open_keys.agg(F.sum("open")).first()[0] or 0
-        if not still:
-            break
-        now = stash(now.join(open_keys.select("key"), "key"))
-        last = still / 2 <= most or turn == 7
-        if last:
-            other = now.select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("label").alias("of"))
-        else:  # one pivot a bucket, another one each turn
-            order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "label")
-            other = stash(
-                now.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.id").alias("a"), F.col("p.n").alias("m"), F.col("p.label").alias("of"))
-            )
-        apart = F.col("of") < F.col("label") if last else F.col("of") != F.col("label")
-        rows = now.join(other, "key").filter(apart & close("n", "m"))
-        pairs = rows.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stash(pairs.join(seen, ["a", "b"], "left_anti"))
-        links = stash(links.union(confirmed(docs, pairs, percent, shingle)))
-        labels = components(links)
-        if last:
-            break
-        tested = stash(tested.union(pairs))
+    )
+    mixed_keys = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    mixed_keys = stash(mixed_keys.select("key"))
+    more = bridges(docs, stash(now.join(mixed_keys, "key")), percent, shingle)
+    labels = components(links.union(more))
     rep_of = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     rep_of = stash(rep_of.select("set_key", F.coalesce("component", "rep").alias("c")))
     return told.join(rep_of, "set_key", "left").select(
