@@ -139,16 +139,24 @@ def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 def bridges(docs: DataFrame, members: DataFrame, percent: int, shingle: int) -> DataFrame:
     """(a, b): links between ids of different labels that share a key, one for each two labels and block at least.
 
-    members: key, id, label. The members of a key are dealt into hashed blocks, and each two blocks meet in a task
-    with their full sets; so every pair is compared, but none is ever a row, and no task holds a whole hot key.
+    members: key, id, label. The members of a key are dealt into hashed blocks, those of its largest label apart from
+    the rest. Each two blocks meet in a task with their full sets, but for two of the largest label; so every pair of
+    different labels is compared, but none is ever a row, and no task holds a whole hot key.
     """
     sets = sets_of(docs, members.select("id").distinct(), shingle)
-    blocks = stash(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    counts = members.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+    counts = counts.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("m"), F.sum("c").alias("c"))
+    shares = ((F.col("c") - F.col("m")) / BLOCK, F.col("m") / BLOCK)
+    blocks = stash(counts.select("key", "main", *(F.ceil(x).cast("int").alias(n) for x, n in zip(shares, ("few", "many")))))
     cell = ["key", "i", "j"]
+    dealt_to = F.when(
+        F.col("label") == F.col("main"), F.col("few") + F.pmod(F.xxhash64("id"), F.col("many")).cast("int")
+    ).otherwise(F.pmod(F.xxhash64("id"), F.col("few")).cast("int"))
+    last = F.col("few") - 1 + F.when(F.col("label") == F.col("main"), 0).otherwise(F.col("many"))
     rows = (
         members.join(blocks, "key")
-        .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("mine", dealt_to)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
         .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "label", "mine")
     )
     full = stash(rows).join(sets, "id").select(*cell, "id", "label", "mine", "items")
