@@ -1,7 +1,280 @@
-"""All queries with the SQL that checks them."""
+"""Queries of the operators on the given tables, each with the SQL that checks it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lumenfold.functions import scalars
+from lumenfold.operators import findings as f
+from lumenfold.operators import graphs, history
+from lumenfold.sources import text as t
+
+FLAGSHIP = "w1_first_wins"
+
+# rule_ord, stage_ord, stage, issue, severity, weakness, pattern (no look-around: RE2 has none)
+RULES = [
+    (1, 1, "secrets", "cloud-key", "CRITICAL", "CWE-798", "AKIA[0-9A-Z]{16}"),
+    (2, 1, "secrets", "password-literal", "HIGH", "CWE-259", "password=[0-9a-f]+"),
+    (3, 1, "secrets", "token-literal", "HIGH", "CWE-798", 'token = "[0-9a-f]+"'),
+    (4, 2, "privacy", "email-address", "LOW", "CWE-359", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+"),
+    (5, 2, "privacy", "ip-address", "INFO", "CWE-200", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+"),
+    (6, 2, "privacy", "card-number", "HIGH", "", "[0-9]{16}"),
+    (7, 3, "licence", "licence-line", "MEDIUM", "", "[Ll]icen[sc]e"),
+]
+VULNERABILITIES = [("cloud-key", 9.1, "rotate the key"), ("password-literal", 7.5, "use a vault"), ("email-address", 3.1, "mask it")]
+BY_CWE = {"CWE-798": "A07", "CWE-259": "A07", "CWE-200": "A01"}
+BY_WORD = [("card", "A02"), ("address", "A01"), ("number", "A04")]
+
+
+def _values(rows: list[tuple]) -> str:
+    one = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return t.lines(_read(spark, d, "documents"), "doc_id", "text")
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    return f.match_rules(_lines(spark, d), RULES)
+
+
+_SQL_LINES = r"""
+  docs AS (SELECT doc_id AS path, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM documents),
+  lines AS (SELECT path, generate_subscripts(ls, 1) AS line, unnest(ls) AS text FROM docs)"""
+_SQL_FOUND = f"""WITH {_SQL_LINES},
+  rules(rule_ord, stage_ord, stage, issue, severity, cwe, pattern) AS (VALUES {_values(RULES)}),
+  found AS (SELECT path, line, rule_ord, stage_ord, stage, issue, severity, cwe, trim(text) AS snippet,
+    list_position(['INFO','LOW','MEDIUM','HIGH','CRITICAL'], severity) - 1 AS sev_rank
+    FROM lines, rules WHERE regexp_matches(text, pattern))"""
+
+#: Scans: each user's events of a day, as counts by kind.
+_SQL_SCANS = """WITH scans AS (SELECT user_id AS project, CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS scan_id, min(ts) AS ts,
+  count(*) AS total, count(*) FILTER (event_type = 'error') AS critical, count(*) FILTER (event_type = 'purchase') AS high
+  FROM events GROUP BY 1, 2)"""
+
+
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    day = F.date_format("ts", "yyyyMMdd").cast("long").alias("scan_id")
+    return _read(spark, d, "events").groupBy(F.col("user_id").alias("project"), day).agg(
+        F.min("ts").alias("ts"), F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("event_type") == "error").alias("critical"), F.count_if(F.col("event_type") == "purchase").alias("high"),
+    )
+
+
+_QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(run):
+        _QUERIES[run.__name__] = run
+        if sql:
+            ORACLE_SQL[run.__name__] = sql
+        return run
+
+    return add
+
+
+@query(f"WITH {_SQL_LINES} SELECT path, count(*) AS n_lines, max(length(text)) AS longest FROM lines GROUP BY path")
+def s11_lines(spark, d):
+    return _lines(spark, d).groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"), F.max(F.length("text")).alias("longest"))
+
+
+@query(f"{_SQL_FOUND} SELECT path, line, issue, severity, cwe, stage, snippet FROM found")
+def j9_match_rules(spark, d):
+    return _found(spark, d).select("path", "line", "issue", "severity", "cwe", "stage", "snippet")
+
+
+@query(f"""{_SQL_FOUND} SELECT path, line, stage, issue FROM found
+    QUALIFY row_number() OVER (PARTITION BY path, line, stage ORDER BY stage_ord, rule_ord) = 1""")
+def w1_first_wins(spark, d):
+    return f.first_wins(_found(spark, d), ["path", "line", "stage"], ["stage_ord", "rule_ord"]).select("path", "line", "stage", "issue")
+
+
+@query(f"""{_SQL_FOUND}, dim(issue, cvss, fix) AS (VALUES {_values(VULNERABILITIES)})
+    SELECT path, line, issue, coalesce(cvss, 0.0)::DOUBLE AS cvss, coalesce(fix, 'review') AS fix,
+    CASE WHEN coalesce(cvss, 0) >= 9 THEN 'CRITICAL' WHEN coalesce(cvss, 0) >= 7 THEN 'HIGH' WHEN coalesce(cvss, 0) >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS band
+    FROM found LEFT JOIN dim USING (issue)""")
+def j1_p19_enrich(spark, d):
+    dim = spark.createDataFrame(VULNERABILITIES, "issue string, cvss double, fix string")
+    out = f.with_dimension(_found(spark, d), F.broadcast(dim), "issue", {"cvss": 0.0, "fix": "review"})
+    return out.select("path", "line", "issue", "cvss", "fix", scalars.band(F.col("cvss")).alias("band"))
+
+
+_SQL_CATEGORY = f"""{_SQL_FOUND}, told AS (SELECT *, CASE {' '.join(f"WHEN cwe = '{k}' THEN '{v}'" for k, v in BY_CWE.items())}
+    {' '.join(f"WHEN contains(issue, '{k}') THEN '{v}'" for k, v in BY_WORD)} ELSE '' END AS category FROM found)"""
+
+
+@query(f"{_SQL_CATEGORY} SELECT path, line, issue, category FROM told")
+def j2_j3_category(spark, d):
+    return f.category(_found(spark, d), BY_CWE, BY_WORD).select("path", "line", "issue", "category")
+
+
+@query(f"""{_SQL_CATEGORY} SELECT category, count(*) AS n, count(DISTINCT path) AS files,
+    count(*) FILTER (severity = 'HIGH') AS high FROM told GROUP BY category""")
+def a7_coverage(spark, d):
+    told = f.category(_found(spark, d), BY_CWE, BY_WORD)
+    return told.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("files"), F.count_if(F.col("severity") == "HIGH").alias("high")
+    )
+
+
+@query(f"{_SQL_CATEGORY} SELECT category, path, line, issue FROM told QUALIFY row_number() OVER (PARTITION BY category ORDER BY path, line, rule_ord) <= 3")
+def w7_samples(spark, d):
+    told = f.category(_found(spark, d), BY_CWE, BY_WORD)
+    return f.firsts(told, "category", ["path", "line", "rule_ord"], 3).select("category", "path", "line", "issue")
+
+
+@query(f"{_SQL_FOUND} SELECT severity, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS share FROM found GROUP BY severity")
+def a1_severities(spark, d):
+    return f.shares(_found(spark, d), "severity")
+
+
+@query(f"{_SQL_FOUND} SELECT stage, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS share FROM found GROUP BY stage")
+def a1_stages(spark, d):
+    return f.shares(_found(spark, d), "stage")
+
+
+@query(f"""{_SQL_FOUND} SELECT path, {', '.join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s in ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'))},
+    count(*) AS total FROM found GROUP BY path""")
+def a3_pivot(spark, d):
+    return f.pivoted(_found(spark, d))
+
+
+@query(f"{_SQL_FOUND} SELECT stage, issue, count(*) AS n FROM found GROUP BY ROLLUP (stage, issue)")
+def a4_totals(spark, d):
+    return _found(spark, d).rollup("stage", "issue").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{_SQL_FOUND} SELECT path, coalesce(worst, 'SECURE') AS worst FROM docs LEFT JOIN
+    (SELECT path, max_by(severity, sev_rank) AS worst FROM found WHERE sev_rank >= 1 GROUP BY path) USING (path)""")
+def a5_worst(spark, d):
+    return f.worst(_read(spark, d, "documents").select(F.col("doc_id").alias("path")), _found(spark, d))
+
+
+@query(f"{_SQL_FOUND}, firsts AS (SELECT issue, min(path) AS first_path FROM found GROUP BY issue) SELECT * FROM firsts ORDER BY first_path, issue LIMIT 5")
+def w6_first_issues(spark, d):
+    """The limit is the feature: a short report of the issues seen first."""
+    return _found(spark, d).groupBy("issue").agg(F.min("path").alias("first_path")).orderBy("first_path", "issue").limit(5)
+
+
+@query(f"""{_SQL_FOUND}, pred AS (SELECT DISTINCT path FROM found WHERE sev_rank >= 3),
+    told AS (SELECT d.lang AS suite, l.toxic AS truth, (p.path IS NOT NULL)::INT AS pred FROM labels l JOIN documents d USING (doc_id) LEFT JOIN pred p ON p.path = l.doc_id),
+    c AS (SELECT suite, count(*) FILTER (truth = 1 AND pred = 1) AS tp, count(*) FILTER (truth = 0 AND pred = 1) AS fp,
+      count(*) FILTER (truth = 1 AND pred = 0) AS fn FROM told GROUP BY ROLLUP (suite))
+    SELECT suite, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 4) AS precision,
+      round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 4) AS recall,
+      round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 4) AS f1 FROM c""")
+def a13_accuracy(spark, d):
+    docs, labels = _read(spark, d, "documents"), _read(spark, d, "labels")
+    pred = _found(spark, d).filter("sev_rank >= 3").select(F.col("path").alias("doc_id")).distinct().withColumn("hit", F.lit(1))
+    told = labels.join(docs.select("doc_id", F.col("lang").alias("suite")), "doc_id").join(pred, "doc_id", "left")
+    return f.accuracy(told.select("suite", F.col("toxic").alias("truth"), F.coalesce("hit", F.lit(0)).alias("pred")), "suite")
+
+
+@query(f"""{_SQL_SCANS}, b AS (SELECT *, lag(total) OVER (PARTITION BY project ORDER BY ts, scan_id) AS before FROM scans)
+    SELECT project, scan_id, total, total - before AS change, CASE WHEN before IS NULL THEN 'first' WHEN total < before THEN 'improving'
+    WHEN total > before THEN 'worsening' ELSE 'stable' END AS trend FROM b""")
+def w9_trend(spark, d):
+    return history.trend(_scans(spark, d))
+
+
+@query(f"""{_SQL_SCANS}, r AS (SELECT *, concat_ws('; ', CASE WHEN critical > 1 THEN 'critical ' || critical END,
+    CASE WHEN high > 2 THEN 'high ' || high END) AS reasons FROM scans)
+    SELECT project, scan_id, reasons, reasons = '' AS passed FROM r""")
+def w9_gate(spark, d):
+    return history.gate(_scans(spark, d), 1, 2)
+
+
+@query(f"{_SQL_SCANS} SELECT project, scan_id, total FROM scans QUALIFY row_number() OVER (PARTITION BY project ORDER BY ts DESC, scan_id DESC) <= 3")
+def k13_latest(spark, d):
+    return history.latest(_scans(spark, d), 3).select("project", "scan_id", "total")
+
+
+_EDGES = "SELECT DISTINCT c_custkey % 211 AS src, (c_custkey * 5 + c_nationkey) % 211 AS dst FROM customer"
+
+
+@query(f"""WITH RECURSIVE edges AS ({_EDGES}), cone AS (SELECT 7::BIGINT AS node UNION SELECT e.dst FROM cone c JOIN edges e ON e.src = c.node)
+    SELECT node FROM cone""")
+def g1_cone(spark, d):
+    edges = _read(spark, d, "customer").selectExpr("c_custkey % 211 AS src", "(c_custkey * 5 + c_nationkey) % 211 AS dst").distinct()
+    return graphs.cone(edges, spark.createDataFrame([(7,)], "node long")).select("node")
+
+
+@query(f"SELECT src, count(DISTINCT dst) AS n_edges FROM ({_EDGES}) GROUP BY src")
+def a15_edges(spark, d):
+    edges = _read(spark, d, "customer").selectExpr("c_custkey % 211 AS src", "(c_custkey * 5 + c_nationkey) % 211 AS dst")
+    return edges.groupBy("src").agg(F.countDistinct("dst").alias("n_edges"))
+
+
+@query("""WITH a AS (SELECT user_id, min(ts) AS bought FROM events WHERE event_type = 'purchase' GROUP BY 1)
+    SELECT e.user_id, min(e.ts) AS clicked FROM events e JOIN a USING (user_id) WHERE e.event_type = 'click' AND e.ts > a.bought GROUP BY 1""")
+def j14_first_after(spark, d):
+    events = _read(spark, d, "events")
+    first = events.filter("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").alias("bought"))
+    later = events.filter("event_type = 'click'").join(first, "user_id").filter("ts > bought")
+    return later.groupBy("user_id").agg(F.min("ts").alias("clicked"))
+
+
+@query("""SELECT e.event_id, e.user_id FROM events e WHERE e.event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events g
+    WHERE g.user_id = e.user_id AND g.event_type = 'signup' AND e.ts BETWEEN g.ts AND g.ts + INTERVAL 12 HOUR)""")
+def j12_unguarded(spark, d):
+    """Range anti-join: equal users, and the time within the guard's reach."""
+    events = _read(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    guards = events.filter("event_type = 'signup'").select("user_id", F.col("ts").alias("from"), (F.col("ts") + F.expr("interval 12 hours")).alias("to"))
+    told = events.filter("event_type = 'error'")
+    return told.join(guards, (told.user_id == guards.user_id) & told.ts.between(F.col("from"), F.col("to")), "left_anti").select("event_id", told.user_id)
+
+
+@query("""SELECT event_id, user_id, n FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n
+    FROM events WHERE event_type = 'signup') WHERE n > 1""")
+def j15_repeats(spark, d):
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    told = _read(spark, d, "events").filter("event_type = 'signup'").withColumn("n", F.row_number().over(w))
+    return told.filter("n > 1").select("event_id", "user_id", "n")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
+def j23_remaining(spark, d):
+    orders = _read(spark, d, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return _read(spark, d, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT 'tp' AS kind, doc_id FROM (SELECT doc_id FROM labels WHERE toxic = 1 INTERSECT SELECT doc_id FROM labels WHERE quality = 1)
+    UNION ALL SELECT 'fn', doc_id FROM (SELECT doc_id FROM labels WHERE toxic = 1 EXCEPT SELECT doc_id FROM labels WHERE quality = 1)) GROUP BY kind""")
+def u1_set_ops(spark, d):
+    labels = _read(spark, d, "labels")
+    a, b = labels.filter("toxic = 1").select("doc_id"), labels.filter("quality = 1").select("doc_id")
+    both = a.intersect(b).withColumn("kind", F.lit("tp")).union(a.subtract(b).withColumn("kind", F.lit("fn")))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH m AS (SELECT p_partkey, replace(p_name, ' ', '-') || '==' || p_size AS text FROM part)
+    SELECT p_partkey AS source_file, regexp_extract(text, '^([A-Za-z0-9_.-]+)', 1) AS name, regexp_extract(text, '==([0-9]+)', 1) AS version FROM m""")
+def s19_requirements(spark, d):
+    rows = _read(spark, d, "part").select(F.col("p_partkey").alias("path"), F.lit(1).alias("line"), F.expr("replace(p_name, ' ', '-') || '==' || p_size").alias("text"))
+    return t.requirements(rows).select("source_file", "name", "version")
+
+
+@query("""SELECT event_type, CASE WHEN regexp_extract(event_type || event_id % 7, '([0-9]+)', 1) <> '' THEN 'CWE-' || regexp_extract(event_type || event_id % 7, '([0-9]+)', 1) ELSE '' END AS cwe,
+    CASE WHEN upper(trim(event_type)) IN ('ERROR') THEN 'MEDIUM' WHEN event_id % 3 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, count(*) AS n FROM events GROUP BY ALL""")
+def p1_p2_normalise(spark, d):
+    told = _read(spark, d, "events").withColumn("conf", F.expr("if(event_id % 3 = 0 and event_type <> 'error', ' high', 'n/a')"))
+    sev = scalars.severity(F.col("event_type"), F.col("conf")).alias("severity")
+    cwe = scalars.weakness(F.expr("event_type || event_id % 7")).alias("cwe")
+    return told.select("event_type", cwe, sev).groupBy("event_type", "cwe", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH c AS (SELECT doc_id, n, count(*) AS k FROM (SELECT doc_id, length(source) AS n, unnest(string_split(source, '')) AS ch FROM documents) GROUP BY doc_id, n, ch)
+    SELECT doc_id, round(-sum((k / n) * log2(k / n)), 6) + 0.0 AS bits FROM c GROUP BY doc_id""")
+def a18_entropy(spark, d):
+    return _read(spark, d, "documents").select("doc_id", (F.round(scalars.entropy(F.col("source")), 6) + 0.0).alias("bits"))
+
+
+QUERIES = dict(_QUERIES)
