@@ -14,10 +14,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct pieces in each of the two generations a worker remembers (about 50 MB each).
-REMEMBERED = 250_000
+#: Distinct pieces in each of the two generations a worker remembers (about 25 MB each).
+REMEMBERED = 120_000
 #: Pairs of tokens whose compatibility a worker remembers.
-MOST_PAIRS = 1_000_000
+MOST_PAIRS = 300_000
 #: Longer pieces are encoded each time, so that memory stays bounded.
 REMEMBERED_CHARS = 64
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import components, stash
-from lumenfold.llm.shingles import mixed, shingle_set
+from lumenfold.llm.shingles import forget, mixed, shingle_set
 
 #: Coordinates of a sketch, in bands of ROWS: a pair at similarity 0.75 shares no band with probability 6e-6.
 BINS, ROWS = 128, 4
@@ -72,6 +72,7 @@ def sketched(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), told],
                 names=["doc_id", "n_shingles", "set_key", "keys"],
             )
+        forget()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(
@@ -88,6 +89,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                 part = batch.slice(start, 500)
                 items = [shingle_set(t.as_py(), shingle).tobytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.binary())], names=["id", "items"])
+        forget()
 
     ids = stash(ids)
     if ids.count() <= BROADCAST_IDS:

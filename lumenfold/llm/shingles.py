@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -13,7 +14,7 @@ class WordHashes(dict):
     """word -> its 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 100_000:
             self.clear()
         found = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
@@ -24,6 +25,12 @@ class WordHashes(dict):
 _known = WordHashes()
 
 
+def forget() -> None:
+    """At a task's end: a worker that waits for other work keeps no words."""
+    _known.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2

@@ -29,7 +29,7 @@ SEARCH = {
 }
 #: Gains in bytes from which windows are counted.
 GAINS = (1, 2, 3, 4, 5)
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 THRESHOLD = 0.3
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
