@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars
 from lumenfold.operators import findings as f
-from lumenfold.operators import graphs, history
+from lumenfold.operators import graphs, history, matching, reports, supply
 from lumenfold.sources import text as t
 
 FLAGSHIP = "w1_first_wins"
@@ -277,4 +277,196 @@ def a18_entropy(spark, d):
     return _read(spark, d, "documents").select("doc_id", (F.round(scalars.entropy(F.col("source")), 6) + 0.0).alias("bits"))
 
 
+_PREFIXES = [("pu", "buy"), ("p", "other"), ("cl", "look"), ("c", "other")]
+_INSIDE = [("ro", "fault"), ("i", "small"), ("e", "wide")]
+_ENDS = [("up", "join"), ("w", "look")]
+
+
+def _cases(rules: list[tuple[str, str]], call: str, column: str) -> str:
+    return "CASE " + " ".join(f"WHEN {call}({column}, '{k}') THEN '{v}'" for k, v in rules) + " ELSE '' END"
+
+
+@query(f"""SELECT event_id, {_cases(_PREFIXES, 'starts_with', 'event_type')} AS tool, {_cases(_INSIDE, 'contains', 'event_type')} AS rule,
+    {_cases(_ENDS, 'ends_with', 'event_type')} AS sink FROM events""")
+def j6_j7_j8_first_match(spark, d):
+    kind = F.col("event_type")
+    return _read(spark, d, "events").select(
+        "event_id",
+        matching.first_match(kind, _PREFIXES, "prefix").alias("tool"),
+        matching.first_match(kind, _INSIDE, "contains").alias("rule"),
+        matching.first_match(kind, _ENDS, "suffix").alias("sink"),
+    )
+
+
+_SQL_SECONDS = "WITH e AS (SELECT event_id, user_id, event_type, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS s FROM events)"
+
+
+def _seconds(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_timestamp("ts").alias("s"))
+
+
+@query(f"""{_SQL_SECONDS} SELECT v.event_id, max(g.event_id) AS scope, min(g.s) AS opened FROM e v JOIN (SELECT user_id, min(event_id) AS event_id, s FROM e
+    WHERE event_type = 'signup' GROUP BY user_id, s) g ON g.user_id = v.user_id AND v.s BETWEEN g.s AND g.s + 21600
+    WHERE v.event_type = 'view' GROUP BY v.event_id""")
+def j13_enclosing(spark, d):
+    """Range join in bins: the scopes of six hours that hold a view."""
+    e = _seconds(spark, d)
+    spans = e.filter("event_type = 'signup'").groupBy("user_id", F.col("s").alias("opens")).agg(F.min("event_id").alias("scope"))
+    spans = spans.withColumn("closes", F.col("opens") + 21600)
+    views = e.filter("event_type = 'view'").select("event_id", "user_id", "s")
+    held = matching.binned_within(views, spans, "user_id", "s", "opens", "closes", 21600)
+    return held.groupBy("event_id").agg(F.max("scope").alias("scope"), F.min("opens").alias("opened"))
+
+
+@query(f"""{_SQL_SECONDS}, flows AS (SELECT a.event_id AS source, b.event_id AS sink, a.user_id, a.s AS s0, b.s AS s1 FROM e a JOIN e b ON a.user_id = b.user_id
+      AND b.s BETWEEN a.s AND a.s + 86400 WHERE a.event_type = 'signup' AND b.event_type = 'purchase')
+    SELECT source, sink, min(c.s) AS cleaned FROM flows f JOIN e c ON c.user_id = f.user_id AND c.event_type = 'error' AND c.s BETWEEN s0 AND s1 GROUP BY 1, 2""")
+def j11_sanitised_between(spark, d):
+    e = _seconds(spark, d)
+    spans = e.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("source"), F.col("s").alias("s0"))
+    spans = spans.withColumn("last", F.col("s0") + 86400)
+    sinks = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("sink"), F.col("s").alias("s1"))
+    flows = matching.binned_within(sinks, spans, "user_id", "s1", "s0", "last", 86400).drop("last")
+    guards = e.filter("event_type = 'error'").select("user_id", F.col("s").alias("cleaned"))
+    held = matching.binned_within(guards, flows, "user_id", "cleaned", "s0", "s1", 86400)
+    return held.groupBy("source", "sink").agg(F.min("cleaned").alias("cleaned"))
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER w AS section,
+    CAST(sum(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN -1 ELSE 0 END) OVER w AS BIGINT) AS depth,
+    count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS near_errors
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def w12_w13_w14_running_state(spark, d):
+    """One sort serves all three windows: the open section, the running depth, errors in the six rows before."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    upto, back = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(-6, -1)
+    step = F.expr("CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN -1 ELSE 0 END")
+    section = F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(upto)
+    near = F.count_if(F.col("event_type") == "error").over(back)
+    return _read(spark, d, "events").select("event_id", section.alias("section"), F.sum(step).over(upto).alias("depth"), near.alias("near_errors"))
+
+
+@query(f"""{_SQL_FOUND}, r AS (SELECT path, line, issue, round(CASE severity {' '.join(f"WHEN '{k}' THEN {v}" for k, v in reports.BASE.items())} END
+    * CASE WHEN line % 2 = 0 THEN 0.3 ELSE 1.0 END, 1)::DOUBLE AS risk, line % 2 = 0 AS sanitised FROM found)
+    SELECT path, line, issue, risk FROM r WHERE NOT (sanitised AND risk < 2.0)""")
+def f15_risk(spark, d):
+    clean = F.col("line") % 2 == 0
+    told = _found(spark, d).withColumn("risk", reports.risk(F.col("severity"), clean))
+    return told.filter(~(clean & (F.col("risk") < 2.0))).select("path", "line", "issue", "risk")
+
+
+@query(f"{_SQL_FOUND} SELECT path, line, issue FROM found WHERE sev_rank >= 2 AND issue NOT IN ('licence-line')")
+def p4_p5_filters(spark, d):
+    return _found(spark, d).filter((F.col("sev_rank") >= 2) & ~F.col("issue").isin("licence-line")).select("path", "line", "issue")
+
+
+@query(f"{_SQL_FOUND} SELECT path, bool_or(sev_rank >= 3) AS fails FROM found GROUP BY path")
+def p8_exit_code(spark, d):
+    return _found(spark, d).groupBy("path").agg(F.bool_or(F.col("sev_rank") >= 3).alias("fails"))
+
+
+@query(f"{_SQL_FOUND} SELECT severity, stage, count(*) AS n FROM found GROUP BY GROUPING SETS ((severity), (stage))")
+def a8_two_groupings(spark, d):
+    told = _found(spark, d)
+    return told.groupingSets([["severity"], ["stage"]], "severity", "stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_SQL_FOUND} SELECT path FROM docs WHERE path NOT IN (SELECT path FROM found WHERE issue = 'email-address')")
+def a17_missing(spark, d):
+    has = _found(spark, d).filter("issue = 'email-address'").select("path").distinct()
+    return _read(spark, d, "documents").select(F.col("doc_id").alias("path")).join(has, "path", "left_anti")
+
+
+@query("SELECT event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type")
+def a10_store_stats(spark, d):
+    return _read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("SELECT page_id, url FROM pages WHERE NOT (url GLOB '*example.com*' OR regexp_extract(url, '([^/]*)$', 1) GLOB '*7')")
+def p6_paths(spark, d):
+    return _read(spark, d, "pages").filter(~matching.excluded(F.col("url"), ["*example.com*", "*7"])).select("page_id", "url")
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(url, '([^/]*)$', 1) AS name,
+    lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '(\.[^.]+)$', 1)) AS ext FROM pages""")
+def f3_path_parts(spark, d):
+    parts = matching.path_parts(F.col("url"))
+    return _read(spark, d, "pages").select("page_id", *(v.alias(k) for k, v in parts.items()))
+
+
+@query(f"""{_SQL_FOUND} SELECT path, line, CASE {' '.join(f"WHEN contains(upper(snippet), '{x}') THEN '{x}'" for x in supply.RISKY)} ELSE '' END AS risk
+    FROM found WHERE issue = 'licence-line'""")
+def j26_licence_risk(spark, d):
+    told = _found(spark, d).filter("issue = 'licence-line'")
+    return told.select("path", "line", supply.licence_risk(F.col("snippet")).alias("risk"))
+
+
+@query("""WITH r AS (SELECT left(sha256(text), 16) AS prefix, min(doc_id) AS origin FROM documents WHERE lang = 'en' GROUP BY 1)
+    SELECT doc_id AS path, origin FROM documents JOIN r ON left(sha256(text), 16) = prefix""")
+def j27_known_snippets(spark, d):
+    docs = _read(spark, d, "documents")
+    prefix = F.left(F.sha2("text", 256), F.lit(16)).alias("prefix")
+    registry = docs.filter("lang = 'en'").groupBy(prefix).agg(F.min("doc_id").alias("origin"))
+    return supply.known_snippets(docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")), registry).select("path", "origin")
+
+
+_ENDED = ["base:7", "base:3.1", "base:12"]
+
+
+@query(f"""WITH i AS (SELECT p_partkey, p_size % 9 || '.' || p_partkey % 4 AS tag FROM part)
+    SELECT p_partkey, 'base' AS base, tag, 'base:' || tag IN {tuple(_ENDED)} OR 'base:' || split_part(tag, '.', 1) IN {tuple(_ENDED)} AS ended FROM i""")
+def j28_base_images(spark, d):
+    rows = _read(spark, d, "part").select("p_partkey", F.expr("'store/base:' || p_size % 9 || '.' || p_partkey % 4").alias("image"))
+    parts = supply.base_image(F.col("image"))
+    return rows.select("p_partkey", parts["base"].alias("base"), parts["tag"].alias("tag"), supply.end_of_life(F.col("image"), _ENDED).alias("ended"))
+
+
+@query("""SELECT p_partkey, 'pkg:pypi/' || lower(p_name) || CASE WHEN p_size % 3 = 0 THEN '' ELSE '@' || p_size END AS purl FROM part""")
+def f17_addresses(spark, d):
+    version = F.expr("if(p_size % 3 = 0, null, cast(p_size as string))")
+    return _read(spark, d, "part").select("p_partkey", supply.package_address("pypi", F.col("p_name"), version).alias("purl"))
+
+
+@query("""SELECT c_custkey, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN
+    (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def j32_left_defaults(spark, d):
+    n = _read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    return _read(spark, d, "customer").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
+
+
+@query("""SELECT doc_id, quality FROM labels WHERE toxic = 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+    UNION ALL SELECT doc_id, quality + 10 FROM labels WHERE toxic = 1""")
+def k9_upsert(spark, d):
+    labels = _read(spark, d, "labels")
+    new = labels.filter("toxic = 1").select("doc_id", (F.col("quality") + 10).alias("quality"))
+    return reports.upsert(labels.filter("toxic = 0").select("doc_id", "quality"), new, ["doc_id"])
+
+
+@query("""SELECT event_id, coalesce(try_cast(CASE WHEN event_id % 5 = 0 THEN '-' ELSE CAST(event_id % 40 AS VARCHAR) END AS INT), 0) AS added FROM events""")
+def f22_numstat(spark, d):
+    told = F.expr("if(event_id % 5 = 0, '-', cast(event_id % 40 as string))")
+    return _read(spark, d, "events").select("event_id", F.coalesce(told.try_cast("int"), F.lit(0)).alias("added"))
+
+
+@query(f"""{_SQL_FOUND}, u AS (SELECT path, line, issue, stage_ord FROM found UNION ALL SELECT path, line, 'cloud-key', 0 FROM found WHERE line % 2 = 0 AND rule_ord = 7)
+    SELECT path, line, issue, min(stage_ord)::INT AS stage_ord FROM u GROUP BY ALL""")
+def j24_anti_merge(spark, d):
+    """Findings of the stronger source stay; the weaker one adds only what is new."""
+    told = _found(spark, d).select("path", "line", "issue", "stage_ord")
+    strong = _found(spark, d).filter("rule_ord = 7 and line % 2 = 0").select("path", "line", F.lit("cloud-key").alias("issue"), F.lit(0).alias("stage_ord"))
+    return f.first_wins(told.unionByName(strong), ["path", "line", "issue"], ["stage_ord"])
+
+
+@query(None)
+def k3_sarif(spark, d):
+    """JSON text, which SQL formats differently; tested by parsing it."""
+    return reports.sarif_results(_found(spark, d))
+
+
+@query(None)
+def k4_bill_of_materials(spark, d):
+    deps = _read(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("version"))
+    return reports.bill_of_materials(deps.withColumn("purl", supply.package_address("pypi", F.col("name"), F.col("version"))))
+
+
 QUERIES = dict(_QUERIES)
