@@ -79,16 +79,20 @@ def components(links: DataFrame) -> DataFrame:
     labels = stash(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("u"), F.min("v")).alias("component")))
     while True:
         told = both.join(labels, both.u == labels.id).select(F.col("v").alias("id"), "component")
+        told = told.withColumn("before", F.lit(None).cast(dict(labels.dtypes)["component"]))
+        own = labels.select("id", "component", F.col("component").alias("before"))
+        # each id's own label comes along as `before`, so that no further join is needed to see what has changed
         least = stash(
-            told.union(labels.select("id", "component")).groupBy("id").agg(F.min("component").alias("component"))
+            told.union(own).groupBy("id").agg(F.min("component").alias("component"), F.max("before").alias("before"))
         )
         up = least.select(F.col("id").alias("component"), F.col("component").alias("above"))
-        moved = stash(least.join(up, "component").select("id", F.least("component", "above").alias("component")))
-        old = labels.select("id", F.col("component").alias("before"))
-        changed = moved.join(old, "id").filter(F.col("component") != F.col("before")).limit(1).count()
+        moved = stash(
+            least.join(up, "component").select("id", F.least("component", "above").alias("component"), "before")
+        )
+        settled = moved.filter(F.col("component") != F.col("before")).isEmpty()
         discard(labels)
         discard(least)
-        labels = moved
-        if not changed:
+        if settled:
             discard(both)
-            return labels
+            return moved.drop("before")
+        labels = moved

@@ -224,7 +224,8 @@ def near_dedup(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFram
     told = stash(sketched(docs, shingle))
     known = told.filter("set_key is not null and doc_id is not null")
     classes = stash(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    reps = known.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = known.select("doc_id", "n_shingles", "keys")
+    reps = stash(reps.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     buckets = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     shared = stash(
         buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot")).filter("c > 1").drop("c")
