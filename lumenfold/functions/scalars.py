@@ -44,3 +44,16 @@ def entropy(text: Column) -> Column:
         return -p * F.log2(p)
 
     return F.when(n > 0, F.aggregate(F.transform(kinds, part), F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
+
+
+def confidence(told: Column, source_line: Column, sink_line: Column, snippet: Column) -> Column:
+    """High, Medium or Low: one up where source and sink lines are known and differ, then one down for short snippets.
+
+    A line of 0 is unknown; a null snippet counts as short; other words than these three count as Medium.
+    """
+    level = F.when(told == "High", 3).when(told == "Low", 1).otherwise(2)
+    flows = (source_line != 0) & (sink_line != 0) & (source_line != sink_line)
+    level = F.least(level + F.when(flows, 1).otherwise(0), F.lit(3))
+    short = F.length(F.trim(F.coalesce(snippet, F.lit("")))) < 5
+    level = F.greatest(level - F.when(short, 1).otherwise(0), F.lit(1))
+    return F.when(level == 3, "High").when(level == 2, "Medium").otherwise("Low")

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpoints(spark: SparkSession) -> str:
+    """The shared folder of checkpoints; one of our own only where the session names none."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        import tempfile
+
+        found = tempfile.mkdtemp(prefix="lumenfold-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def cone(edges: DataFrame, seeds: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node, depth: what is reached from the seeds along src -> dst. Only the last round's nodes are joined again,
     and each round is checkpointed, so plans stay short; cycles end because known nodes are dropped."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
+    checkpoints(edges.sparkSession)
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     last = seen
     for depth in range(1, most_rounds + 1):

@@ -44,3 +44,16 @@ def known_snippets(files: DataFrame, registry: DataFrame) -> DataFrame:
     """Files (path, content) whose digest begins with one of the registry (prefix of 16 digits, origin)."""
     told = files.select("path", F.left(F.sha2("content", 256), F.lit(16)).alias("prefix"))
     return told.join(registry, "prefix")
+
+
+def cvss(scores: Column) -> Column:
+    """The highest number that ends one of the texts, after the last slash of a vector or alone; 0 if there is none."""
+    number = F.transform(scores, lambda s: F.regexp_extract(F.coalesce(s, F.lit("")), r"(\d+\.\d+)\s*$", 1).try_cast("double"))
+    return F.coalesce(F.array_max(number), F.lit(0.0))
+
+
+def fixed_version(affected: Column, package: Column) -> Column:
+    """The first version of `fixed` in the entries (name, fixed array) of the package, whatever its case; else null."""
+    own = F.filter(affected, lambda a: F.lower(a["name"]) == F.lower(package))
+    every = F.flatten(F.transform(own, lambda a: F.coalesce(a["fixed"], F.array().cast("array<string>"))))
+    return F.get(F.filter(every, lambda v: v.isNotNull() & (v != "")), F.lit(0))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions import scalars
+from lumenfold.functions import intervals, scalars
 from lumenfold.operators import findings as f
-from lumenfold.operators import graphs, history, matching, reports, supply
+from lumenfold.operators import flow, graphs, history, matching, reports, supply
+from lumenfold.sources import diffs, manifests
 from lumenfold.sources import text as t
+from lumenfold.streaming import ingest
 
 FLAGSHIP = "w1_first_wins"
 
@@ -469,4 +473,159 @@ def k4_bill_of_materials(spark, d):
     return reports.bill_of_materials(deps.withColumn("purl", supply.package_address("pypi", F.col("name"), F.col("version"))))
 
 
+def _made_lines(rows: DataFrame, key: str, *texts: str) -> DataFrame:
+    """One file for each row, its lines by SQL expressions."""
+    told = rows.select(F.col(key).alias("path"), F.posexplode(F.array(*map(F.expr, texts))).alias("at", "text"))
+    return told.select("path", (F.col("at") + 1).alias("line"), "text")
+
+
+_SQL_PARTS = "WITH p AS (SELECT p_partkey AS k, p_partkey AS source_file, 'p' || p_partkey AS name, p_size::VARCHAR AS v FROM part)"
+
+
+@query(f"""{_SQL_PARTS} SELECT source_file, name, v AS version FROM p UNION ALL SELECT source_file, 'lib.x', '2.' || v FROM p""")
+def s20_pyproject(spark, d):
+    rows = _made_lines(_read(spark, d, "part"), "p_partkey", "'[tool.poetry.dependencies]'", "'python = \"^3.9\"'",
+                       "'p' || p_partkey || ' = \"^' || p_size || '\"'", "'lib.x= {>=2.' || p_size || ' }'", "'# none'")
+    return manifests.pyproject(rows)
+
+
+@query(f"""{_SQL_PARTS} SELECT source_file, name, v AS version FROM p UNION ALL SELECT source_file, 'dev-' || v, NULL FROM p WHERE k % 2 = 0
+    UNION ALL SELECT source_file, 'dev-' || v, '1.' || v FROM p WHERE k % 2 = 1 UNION ALL SELECT source_file, 'peer', v || '.x' FROM p""")
+def s21_package_json(spark, d):
+    made = """concat('{"name": "n", "dependencies": {"p', p_partkey, '": "^', p_size, '"}, "devDependencies": {"dev-', p_size, '": ',
+      if(p_partkey % 2 = 0, '{"version": "1"}', concat('"~1.', p_size, '"')), '}, "peerDependencies": {"peer": ">=', p_size, '.x"}}')"""
+    files = _read(spark, d, "part").select(F.col("p_partkey").alias("path"), F.expr(made).alias("content"))
+    broken = files.select("path", F.lit('{"dependencies": {').alias("content"))
+    return manifests.package_json(files.union(broken))
+
+
+@query(f"{_SQL_PARTS} SELECT source_file, name, v AS version FROM p UNION ALL SELECT source_file, 'b-' || v, '0.' || v FROM p")
+def s22_cargo(spark, d):
+    """The section that is open holds for each line: one sort by file and line."""
+    rows = _made_lines(_read(spark, d, "part"), "p_partkey", "'early = \"1\"'", "'[package]'", "'version = \"0.1\"'", "' [dependencies] '",
+                       "'p' || p_partkey || ' = \"=' || p_size || '\"'", "'[features]'", "'std = \"x\"'", "'[build-dependencies]'", "'b-' || p_size || '=\"0.' || p_size || '\"'")
+    return manifests.cargo(rows)
+
+
+@query(f"{_SQL_PARTS} SELECT source_file, 'ex.org/' || name AS name, 'v1.' || v AS version FROM p UNION ALL SELECT source_file, 'one/a-b', 'v0.' || v FROM p UNION ALL SELECT source_file, 'two', 'v2' FROM p")
+def s23_go_mod(spark, d):
+    rows = _made_lines(_read(spark, d, "part"), "p_partkey", "'module m'", "'require one/a-b v0.' || p_size", "'out v9'", "'require ('",
+                       "'\tex.org/p' || p_partkey || ' v1.' || p_size", "' two v2 // indirect'", "')'", "'after v3'")
+    return manifests.go_mod(rows)
+
+
+@query(f"{_SQL_PARTS} SELECT source_file, 'g' || v || ':' || name AS name, v AS version FROM p UNION ALL SELECT source_file, 'h:free', NULL FROM p")
+def s24_pom(spark, d):
+    made = """concat('<project><version>9</version><dependency>\n<groupId>g', p_size, '</groupId><artifactId>p', p_partkey, '</artifactId>\n<version>', p_size,
+      '</version></dependency><dependency><groupId>h</groupId><artifactId>free</artifactId></dependency><dependency><groupId>half</groupId></dependency></project>')"""
+    return manifests.pom(_read(spark, d, "part").select(F.col("p_partkey").alias("path"), F.expr(made).alias("content")))
+
+
+@query(f"{_SQL_PARTS} SELECT source_file, 'com.g:' || name AS name, v || '.0-jre' AS version FROM p")
+def s25_gradle(spark, d):
+    rows = _made_lines(_read(spark, d, "part"), "p_partkey", "'dependencies {'", "'  implementation \"com.g:p' || p_partkey || ':' || p_size || '.0-jre\"'", "'  runtime \"a:b:1\"'", "'}'")
+    return manifests.gradle(rows)
+
+
+@query("""SELECT 'src/f' || o_orderkey || '.c' AS path, CASE WHEN o_orderkey % 3 = 0 THEN 'R' ELSE 'M' END AS status,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'old' || o_orderkey END AS old_path, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_custkey END AS additions, o_orderkey % 11 AS deletions FROM orders""")
+def j32_s13_changed_paths(spark, d):
+    """Names and counts of a comparison, joined by path."""
+    rows = _read(spark, d, "orders")
+    name = "'src/f' || o_orderkey || '.c'"
+    names = rows.select(F.expr(f"if(o_orderkey % 3 = 0, 'R090\told' || o_orderkey || '\t', 'M\t') || {name}").alias("text"))
+    counts = rows.select(F.expr(f"if(o_orderkey % 5 = 0, '-', cast(o_custkey AS string)) || '\t' || o_orderkey % 11 || '\t' || {name}").alias("text"))
+    out = diffs.name_status(names).join(diffs.numstat(counts), "path", "left")
+    return out.select("path", "status", "old_path", F.coalesce("additions", F.lit(0)).alias("additions"), F.coalesce("deletions", F.lit(0)).alias("deletions"))
+
+
+@query("""SELECT o_orderkey AS diff, 'a.c' AS path, o_custkey + 1 AS line FROM orders UNION ALL SELECT o_orderkey, 'a.c', o_custkey + 2 FROM orders
+    UNION ALL SELECT o_orderkey, 'a.c', 900000 FROM orders UNION ALL SELECT o_orderkey, 'b.c', 5 FROM orders""")
+def f23_changed_lines(spark, d):
+    texts = ["'diff --git a/a.c b/a.c'", "'--- a/a.c'", "'+++ b/a.c'", "'@@ -1,3 +' || o_custkey || ',4 @@'", "' same'", "'-gone'", "'+one'", "'+two'", "' same'",
+             "'@@ -9 +900000 @@'", "'+far'", "'--- a/b.c'", "'+++ b/b.c'", "'@@ -4,0 +5 @@'", "'+new'", "'-old'"]
+    rows = _made_lines(_read(spark, d, "orders"), "o_orderkey", *texts)
+    return diffs.changed_lines(rows.withColumnsRenamed({"path": "diff", "line": "at"}))
+
+
+_SQL_FLOW = """edges AS (SELECT DISTINCT c_custkey // 12 AS func, c_custkey % 12 AS src, (c_custkey % 12 * 5 + c_nationkey) % 12 AS dst FROM customer
+    UNION SELECT c_custkey // 12, c_custkey % 12, (c_custkey + 1) % 12 FROM customer WHERE c_nationkey % 2 = 0)"""
+
+
+def _flow(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "customer")
+    jumps = rows.selectExpr("c_custkey div 12 AS func", "c_custkey % 12 AS src", "(c_custkey % 12 * 5 + c_nationkey) % 12 AS dst")
+    nexts = rows.filter("c_nationkey % 2 = 0").selectExpr("c_custkey div 12 AS func", "c_custkey % 12 AS src", "(c_custkey + 1) % 12 AS dst")
+    return jumps.union(nexts).distinct()
+
+
+@query(f"""WITH RECURSIVE {_SQL_FLOW}, c AS (SELECT func, src, dst FROM edges UNION SELECT c.func, c.src, e.dst FROM c JOIN edges e ON e.func = c.func AND e.src = c.dst)
+    SELECT func, src, dst FROM c""")
+def g10_g14_closure(spark, d):
+    return flow.closure(_flow(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_SQL_FLOW}, r AS (SELECT DISTINCT func, 1::BIGINT AS node FROM edges UNION SELECT r.func, e.dst FROM r JOIN edges e ON e.func = r.func AND e.src = r.node),
+    a AS (SELECT func, node AS dom, 1::BIGINT AS node FROM r WHERE node <> 1 UNION SELECT a.func, a.dom, e.dst FROM a JOIN edges e ON e.func = a.func AND e.src = a.node WHERE e.dst <> a.dom)
+    SELECT r.func, r.node, x.node AS dom FROM r JOIN r x ON x.func = r.func WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.func = r.func AND a.dom = x.node AND a.node = r.node)""")
+def g5_dominators(spark, d):
+    edges = _flow(spark, d)
+    return flow.dominators(edges, edges.select("func", F.lit(1).cast("long").alias("node")).distinct())
+
+
+_SQL_DEFS = "defs AS (SELECT DISTINCT c_custkey // 12 AS func, c_custkey % 12 AS node, c_nationkey % 3 AS var FROM customer)"
+
+
+@query(f"""WITH RECURSIVE {_SQL_FLOW}, {_SQL_DEFS}, r AS (SELECT d.func, d.var, d.node AS def, e.dst AS node FROM defs d JOIN edges e ON e.func = d.func AND e.src = d.node
+    UNION SELECT r.func, r.var, r.def, e.dst FROM r JOIN edges e ON e.func = r.func AND e.src = r.node
+      LEFT JOIN defs k ON k.func = r.func AND k.node = r.node AND k.var = r.var WHERE k.var IS NULL) SELECT func, var, def, node FROM r""")
+def g6_reaching(spark, d):
+    defs = _read(spark, d, "customer").selectExpr("c_custkey div 12 AS func", "c_custkey % 12 AS node", "c_nationkey % 3 AS var")
+    return flow.reaching(_flow(spark, d), defs)
+
+
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber, l_linenumber AS a, l_quantity::BIGINT AS b, l_partkey % 5 AS c, CASE WHEN l_suppkey % 7 > 0 THEN l_suppkey % 50 END AS e FROM lineitem)
+    SELECT l_orderkey, l_linenumber, least(a, c)::BIGINT AS joined_lo, CASE WHEN e IS NOT NULL THEN greatest(b, e) END::BIGINT AS joined_hi, greatest(a, c)::BIGINT AS met_lo,
+    least(b, e)::BIGINT AS met_hi, (b + e)::BIGINT AS sum_hi, e IS NULL OR e > 20 AS exceeds FROM i""")
+def f19_intervals(spark, d):
+    a = intervals.interval(F.col("l_linenumber"), F.col("l_quantity"))
+    b = intervals.interval(F.expr("l_partkey % 5"), F.expr("if(l_suppkey % 7 > 0, l_suppkey % 50, null)"))
+    both, inner = intervals.joined(a, b), intervals.met(a, b)
+    return _read(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", both["lo"].alias("joined_lo"), both["hi"].alias("joined_hi"), inner["lo"].alias("met_lo"), inner["hi"].alias("met_hi"),
+        intervals.added(a, b)["hi"].alias("sum_hi"), intervals.can_exceed(b, F.lit(20)).alias("exceeds"),
+    )
+
+
+@query("""SELECT p_partkey, greatest(p_size % 10 + 0.5, p_size % 7)::DOUBLE AS cvss, CASE WHEN p_size % 2 = 1 THEN p_size::VARCHAR ELSE 'later' END AS fixed FROM part""")
+def j25_f16_advisories(spark, d):
+    """Highest score out of vectors' texts, and the first version that fixes the package."""
+    scores = F.expr("array('CVSS:3.1/AV:N/' || p_size % 10 || '.5', 'none', p_size % 7 || '.0')")
+    affected = F.expr("""array(struct('other' AS name, array('0') AS fixed), struct(upper(p_name) AS name, array(if(p_size % 2 = 1, cast(p_size AS string), null), 'later') AS fixed))""")
+    return _read(spark, d, "part").select("p_partkey", supply.cvss(scores).alias("cvss"), supply.fixed_version(affected, F.col("p_name")).alias("fixed"))
+
+
+@query("""SELECT event_id, CASE greatest(least(CASE event_type WHEN 'error' THEN 3 WHEN 'view' THEN 1 ELSE 2 END + CASE WHEN event_id % 2 = 1 AND user_id <> 0 AND user_id <> event_id THEN 1 ELSE 0 END, 3)
+    - CASE WHEN length(event_type) < 5 THEN 1 ELSE 0 END, 1) WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS confidence FROM events""")
+def p11_confidence(spark, d):
+    told = F.expr("CASE event_type WHEN 'error' THEN 'High' WHEN 'view' THEN 'Low' WHEN 'click' THEN 'Medium' END")
+    source = F.expr("if(event_id % 2 = 1, user_id, null)")
+    return _read(spark, d, "events").select("event_id", scalars.confidence(told, source, F.col("event_id"), F.col("event_type")).alias("confidence"))
+
+
+@query(f"""{_SQL_SCANS} SELECT project, CAST(to_json(list({{'scan_id': scan_id, 'total': total, 'critical': critical}} ORDER BY ts, scan_id)) AS VARCHAR) AS value FROM scans GROUP BY project""")
+def k16_trend_json(spark, d):
+    return history.as_json(_scans(spark, d), ["scan_id", "total", "critical"])
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_type = 'error'")
+def t1_stream_errors(spark, d):
+    """A stream of the events' files, each event once, filtered and appended; then what it wrote."""
+    source = f"{d}/events.parquet"
+    out = f"{graphs.checkpoints(spark)}/stream-{uuid.uuid4().hex}"
+    rows = ingest.arrivals(spark, f"{source}*", spark.read.parquet(source).schema, "ts", "event_id")
+    ingest.drain(rows, f"{out}/rows", f"{out}/progress", lambda df: df.filter("event_type = 'error'").select("event_id", "user_id", "event_type", "value"))
+    return spark.read.parquet(f"{out}/rows")
+
+
 QUERIES = dict(_QUERIES)
