@@ -84,6 +84,24 @@ def compare(x: np.ndarray, keys: np.ndarray, t: int, mine: np.ndarray | None, co
     return near
 
 
+def joined(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id that each row of a block reaches over the block's links: a star for each of its components."""
+    order = np.argsort(ids, kind="stable")
+    near = near[order][:, order]
+    root, left = np.arange(len(ids)), np.ones(len(ids), bool)
+    for k in range(len(ids)):
+        if left[k]:
+            wave = np.array([k])
+            left[k] = False
+            while len(wave):
+                root[wave] = k
+                wave = np.flatnonzero(near[wave].any(axis=0) & left)
+                left[wave] = False
+    out = np.empty_like(ids)
+    out[order] = ids[order][root]
+    return out
+
+
 def embedding_dedup(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of (vec_id, embedding, label).
 
@@ -95,7 +113,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     Rotations are learned on a bounded sample; every vector is indexed. A table holds `bits` of a vector's code; rows
     of one label that agree in them meet in a bucket, and are compared there with their original vectors, in blocks.
     A pair is counted in the first table that brings it together. Pairs never leave the block: each row gets a number
-    of links and the smallest partner from it. Buckets of more than BLOCK rows are dealt out as pairs of hashed
+    of links and the smallest id that it reaches over the block's links, so that these join the same rows as all links. Buckets of more than BLOCK rows are dealt out as pairs of hashed
     blocks, so no task holds a hot bucket. Tables are as many as a link at the threshold needs to be found with
     probability 1 - MISS. Exact copies of a row in all columns are counted as separate rows.
     """
@@ -174,11 +192,10 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         if not len(hit):
             return None
         ids = np.array(part.column("vec_id").to_pylist())
-        order = np.argsort(ids, kind="stable")
-        first = ids[order][near[hit][:, order].argmax(axis=1)]
-        counts = near[hit].sum(axis=1)
+        ids, near = ids[hit], near[hit][:, hit]
+        counts = near.sum(axis=1)
         return pa.RecordBatch.from_arrays(
-            [part.column("row").combine_chunks().take(pa.array(hit)), pa.array(ids[hit]), pa.array(counts), pa.array(first)],
+            [part.column("row").combine_chunks().take(pa.array(hit)), pa.array(ids), pa.array(counts), pa.array(joined(near, ids))],
             names=["row", "vec_id", "links", "least"],
         )
 
