@@ -20,6 +20,10 @@ MISS = 0.005
 BLOCK = 512
 #: Buckets aim at so many vectors.
 BUCKET = 48
+#: Comparing a row with so many others costs about as much as moving it into one more table.
+MATES = 256
+#: Up to so many tables are made without asking whether comparing all pairs is cheaper.
+MOST_TABLES = 64
 
 
 def learn_rotations(sample: np.ndarray, count: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -41,12 +45,38 @@ def learn_rotations(sample: np.ndarray, count: int, rounds: int = ROUNDS, seed:
     return np.array(out)
 
 
-def plan(per_label: float, dim: int, cosine: float) -> tuple[int, int]:
+def plan(per_label: float, dim: int, cosine: float, radii: np.ndarray | None = None) -> tuple[int, int]:
     """(bits of a table's key, tables): keys grow with the logarithm of the rows, as buckets should stay small, and
-    tables are as many as keep the chance of missing a link at the threshold under MISS."""
-    bits = int(min(dim, 24, max(6, math.ceil(math.log2(max(2.0, per_label / BUCKET))) + 2)))
-    same = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(MISS) / math.log(1 - same)))
+    tables are as many as keep the chance of missing a link at the threshold under MISS.
+
+    Bits are signs of centred vectors, and centring widens the angle of a pair: `radii` are the sample's distances from
+    the centre, and a link whose nearer row is at r has 2 asin(gap / 2r) there at most. The chance is the mean over
+    the radii. Where angles are wide, shorter keys may need so many fewer tables that they are cheaper; where even
+    these are over MOST_TABLES and dearer than all pairs, all rows of a label meet in one table (0 bits).
+    """
+    top = int(min(dim, 24, max(6, math.ceil(math.log2(max(2.0, per_label / BUCKET))) + 2)))
+    radii = np.ones(1) if radii is None or not len(radii) else radii
+    same = 1 - 2 / math.pi * np.arcsin(np.minimum(1.0, math.sqrt(2 - 2 * cosine) / 2 / np.maximum(radii, 1e-9)))
+
+    def cost(bits: int, tables: int) -> float:
+        return tables * (1 + per_label / 2**bits / MATES)
+
+    every, best = cost(0, 1), None
+    for bits in range(top, min(top, 6) - 1, -1):
+        apart, low, high = 1 - same**bits, 0, 1
+        limit = max(MOST_TABLES, every)
+        while high <= limit and (apart**high).mean() > MISS:
+            low, high = high, high * 2
+        if high > limit and (apart ** int(limit)).mean() > MISS:
+            continue
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if (apart**middle).mean() > MISS else (low, middle)
+        if best is None or cost(bits, high) < cost(*best):
+            best = bits, high
+    if best is None or (best[1] > MOST_TABLES and cost(*best) > every):
+        return 0, 1
+    return best
 
 
 def _usable(column: pa.Array) -> tuple[list[int], list[np.ndarray]]:
@@ -115,7 +145,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     A pair is counted in the first table that brings it together. Pairs never leave the block: each row gets a number
     of links and the smallest id that it reaches over the block's links, so that these join the same rows as all links. Buckets of more than BLOCK rows are dealt out as pairs of hashed
     blocks, so no task holds a hot bucket. Tables are as many as a link at the threshold needs to be found with
-    probability 1 - MISS. Exact copies of a row in all columns are counted as separate rows.
+    probability 1 - MISS, at the angle that it has after centring, on the mean over the sample (see plan). Exact copies of a row in all columns are counted as separate rows.
     """
     id_kind = dict(vectors.dtypes)["vec_id"]
     rows = vectors.select("vec_id", "embedding", "label")
@@ -127,12 +157,13 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     if not counts["n"]:
         return vectors.select("vec_id", alone.alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     dim = counts["d"]
-    bits, tables = plan(counts["n"] / max(1, counts["labels"]), dim, cosine)
-    per_turn = dim // bits
     picked = good.filter(F.size("embedding") == dim).orderBy(F.xxhash64("vec_id", "label"), "vec_id").limit(SAMPLE)
     _, sample = _usable(picked.select("embedding").toArrow().column(0).combine_chunks())
     sample = _directions(np.array(sample).reshape(-1, dim)) if sample else np.empty((0, dim))
     centre = sample.mean(axis=0) if len(sample) else np.zeros(dim)
+    radii = np.linalg.norm(sample - centre, axis=1)
+    bits, tables = plan(counts["n"] / max(1, counts["labels"]), dim, cosine, radii)
+    per_turn = dim // max(1, bits)
     turns = learn_rotations(sample - centre, math.ceil(tables / per_turn))
 
     def keys_of(x: np.ndarray) -> np.ndarray:

@@ -48,3 +48,24 @@ def test_chain_within_a_block():
         near[a, b] = near[b, a] = True
     assert E.joined(near, np.arange(5)).tolist() == [0, 1, 1, 1, 1]
     assert E.joined(near, np.array([9, 7, 8, 5, 6])).tolist() == [9, 5, 5, 5, 5]
+
+
+def test_recall_where_vectors_share_a_direction(spark):
+    """Links just over the threshold among rows whose mean has norm 0.85: centring widens their angle from 22 to 42 degrees."""
+    rng = np.random.default_rng(2)
+    mean = unit(rng.standard_normal(64))
+    x = unit(mean + 0.62 * rng.standard_normal((1000, 64)) / 8)
+    x = np.concatenate([x, beside(rng, x, 0.932)])
+    assert 0.8 < np.linalg.norm(x.mean(axis=0)) < 0.9
+    near = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    told = {r.vec_id: r.n_links for r in E.embedding_dedup(rows).collect()}
+    told = np.array([told[i] for i in range(len(x))])
+    print("recall", told.sum() / near.sum(), "links", near.sum() // 2)
+    assert (told <= near.sum(axis=1)).all()
+    assert told.sum() >= 0.985 * near.sum()
+
+
+def test_all_pairs_where_no_tables_pay():
+    """Rows so close to the centre that a pair's angle there says little: one table, where all rows of a label meet."""
+    assert E.plan(2000, 64, 0.93, np.full(100, 0.15)) == (0, 1)
