@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,16 +20,18 @@ def checkpoints(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cone(edges: DataFrame, seeds: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """node, depth: what is reached from the seeds along src -> dst. Only the last round's nodes are joined again,
-    and each round is checkpointed, so plans stay short; cycles end because known nodes are dropped."""
+def cone(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """node, depth: all that is reached from the seeds along src -> dst, in as many rounds as the longest of the
+    shortest paths has steps. Only the last round's nodes are joined again, and each round is checkpointed, so plans
+    stay short; cycles end because known nodes are dropped."""
     checkpoints(edges.sparkSession)
+    # checkpoints keep what is inferred of their columns; through a generator nothing is, so plans don't grow by round
+    edges = edges.select(F.inline(F.array(F.struct("src", "dst"))))
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     last = seen
-    for depth in range(1, most_rounds + 1):
+    for depth in itertools.count(1):
         step = last.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         last = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if last.isEmpty():
-            break
+            return seen
         seen = seen.union(last).checkpoint()
-    return seen

@@ -211,6 +211,19 @@ def g1_cone(spark, d):
     return graphs.cone(edges, spark.createDataFrame([(7,)], "node long")).select("node")
 
 
+@query("""WITH RECURSIVE edges AS (SELECT p_partkey // 2 AS src, p_partkey AS dst FROM part WHERE p_size <= 30
+      UNION SELECT (p_partkey * 7 + 3) % (SELECT count(*) FROM part), p_partkey FROM part WHERE p_size > 45),
+    cone AS (SELECT 1::BIGINT AS node UNION SELECT e.dst FROM cone c JOIN edges e ON e.src = c.node)
+    SELECT node FROM cone""")
+def g1_cone_parts(spark, d):
+    """The reverse cone of node 1 over edges part -> part, whose nodes grow with the table."""
+    parts = _read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("dst"), "p_size")
+    total = parts.count()
+    halves = parts.filter("p_size <= 30").selectExpr("dst div 2 AS src", "dst")
+    others = parts.filter("p_size > 45").selectExpr(f"(dst * 7 + 3) % {total} AS src", "dst")
+    return graphs.cone(halves.union(others).distinct(), spark.createDataFrame([(1,)], "node long")).select("node")
+
+
 @query(f"SELECT src, count(DISTINCT dst) AS n_edges FROM ({_EDGES}) GROUP BY src")
 def a15_edges(spark, d):
     edges = _read(spark, d, "customer").selectExpr("c_custkey % 211 AS src", "(c_custkey * 5 + c_nationkey) % 211 AS dst")
