@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Character class of the white space that separates words (Java syntax).
 SPACE = r"\x20\x09-\x0D"
 
 _written: list[tuple[SparkSession, str]] = []
+_batch_size = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; one of our own only where the session names none."""
+    """The folder all executors and the driver share; where the session names none, one of our own if all run on this
+    machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -31,25 +36,35 @@ def stash(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenfold/{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    try:
-        if arrow_rows:
-            spark.conf.set(key, arrow_rows)
+    if arrow_rows:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        with _batch_size:  # one writer at a time may change what the session holds
+            before = spark.conf.get(key)
+            try:
+                spark.conf.set(key, arrow_rows)
+                df.write.parquet(path)
+            finally:
+                spark.conf.set(key, before)
+    else:
         df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that stash() wrote and that nothing reads any more."""
-    path = df._stash_path
-    _delete(df.sparkSession, path)
-    _written[:] = [x for x in _written if x[1] != path]
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stash() wrote and that nothing reads any more."""
+    for df in tables:
+        path = df._stash_path
+        _delete(df.sparkSession, path)
+        _written[:] = [x for x in _written if x[1] != path]
+
+
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """k1, k2: 128 bits of a text's hash, null as empty, by which a second scan finds the same texts again."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -94,5 +109,7 @@ def components(links: DataFrame) -> DataFrame:
         discard(least)
         if settled:
             discard(both)
-            return moved.drop("before")
+            out = moved.drop("before")
+            out._stash_path = moved._stash_path
+            return out
         labels = moved

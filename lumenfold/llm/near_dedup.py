@@ -10,15 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import components, stash
+from lumenfold.llm.common import components, discard, stash, text_keys
 from lumenfold.llm.shingles import forget, mixed, shingle_set
 
 #: Coordinates of a sketch, in bands of ROWS: a pair at similarity 0.75 shares no band with probability 6e-6.
 BINS, ROWS = 128, 4
-#: Ids sent to every executor to pick texts during the scan (16 bytes each); beyond, texts are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Texts whose keys (24 bytes) are sent to every executor to pick them during the scan; beyond, a shuffle joins them.
+BROADCAST_KEYS = 500_000
 #: Members of a bucket that meet in one task, twice.
 BLOCK = 128
+#: Pairs of one pivot that meet its set in one task; the set of a pivot with more is sent out several times.
+HUB = 64
 _FRACTION = np.uint64((1 << 48) - 1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = mixed(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -57,31 +59,31 @@ def band_keys(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_key (null without words), keys (of its bands)."""
+    """doc_id, k1, k2 (of the text), n_shingles, set_key (null without words), keys (of its bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, names, keys = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(3):
                 items = shingle_set(text.as_py(), shingle)
                 sizes.append(len(items))
                 names.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
                 keys.append(band_keys(sketch(items)) if len(items) else None)
             told = pa.array(keys, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), told],
-                names=["doc_id", "n_shingles", "set_key", "keys"],
+                [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), told],
+                names=["doc_id", "k1", "k2", "n_shingles", "set_key", "keys"],
             )
         forget()
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, set_key binary, keys array<bigint>"
+    return docs.select("doc_id", *text_keys(F.col("text")), "text").mapInArrow(
+        run, f"doc_id {kind}, k1 long, k2 long, n_shingles long, set_key binary, keys array<bigint>"
     )
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """id, items: the full shingle sets of the documents whose id is in ids."""
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """id, items: the full shingle sets of the texts with the keys in wanted (id, k1, k2; one row for each text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,16 +93,19 @@ def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.binary())], names=["id", "items"])
         forget()
 
-    ids = stash(ids)
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    kind = dict(docs.dtypes)["doc_id"]
-    return stash(rows.mapInArrow(run, f"id {kind}, items binary").dropDuplicates(["id"]), 1000)
+    wanted = stash(wanted)
+    if wanted.count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
+    rows = docs.select("text", *text_keys(F.col("text"))).join(wanted, ["k1", "k2"]).select("id", "text")
+    return stash(rows.mapInArrow(run, "id long, items binary").dropDuplicates(["id"]), 1000)
+
 
+def confirmed(docs: DataFrame, pairs: DataFrame, where: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """The (a, b) of pairs with 100 x intersection >= percent x union, counted on the full sets; where: id, k1, k2.
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """The (a, b) of pairs with 100 x intersection >= percent x union, counted on the full sets."""
+    Each b is in one pair, an a may be in very many: then its set is sent out once for each HUB of them, and its pairs
+    are dealt among these, so that no task holds all pairs of a popular a.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,12 +116,20 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int) ->
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), shingle)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = sets_of(docs, ids.join(where, "id"), shingle)
+    hubs = pairs.groupBy("a").count().filter(F.col("count") > HUB)
+    hubs = stash(hubs.select("a", F.ceil(F.col("count") / HUB).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    part = F.pmod(F.xxhash64("b"), parts).cast("int").alias("part")
+    dealt = pairs.join(hubs, "a", "left").select("a", "b", part)
     b_side = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    a_side = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    rows = pairs.join(b_side, "b").join(a_side, "a").select("a", "b", "x", "y")
-    kind = dict(docs.dtypes)["doc_id"]
-    return stash(rows.mapInArrow(run, f"a {kind}, b {kind}"), 500)
+    a_side = sets.select(F.col("id").alias("a"), F.col("items").alias("x")).join(hubs, "a", "left")
+    a_side = a_side.select("a", "x", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rows = dealt.join(b_side, "b").join(a_side, ["a", "part"]).select("a", "b", "x", "y")
+    out = stash(rows.mapInArrow(run, "a long, b long"), 500)
+    discard(sets, hubs)
+    return out
 
 
 def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -138,14 +151,14 @@ def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def bridges(docs: DataFrame, members: DataFrame, percent: int, shingle: int) -> DataFrame:
+def bridges(docs: DataFrame, members: DataFrame, where: DataFrame, percent: int, shingle: int) -> DataFrame:
     """(a, b): links between ids of different labels that share a key, one for each two labels and block at least.
 
     members: key, id, label. The members of a key are dealt into hashed blocks, those of its largest label apart from
     the rest. Each two blocks meet in a task with their full sets, but for two of the largest label; so every pair of
     different labels is compared, but none is ever a row, and no task holds a whole hot key.
     """
-    sets = sets_of(docs, members.select("id").distinct(), shingle)
+    sets = sets_of(docs, members.select("id").distinct().join(where, "id"), shingle)
     counts = members.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
     counts = counts.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("m"), F.sum("c").alias("c"))
     shares = ((F.col("c") - F.col("m")) / BLOCK, F.col("m") / BLOCK)
@@ -161,7 +174,8 @@ def bridges(docs: DataFrame, members: DataFrame, percent: int, shingle: int) ->
         .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
         .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "label", "mine")
     )
-    full = stash(rows).join(sets, "id").select(*cell, "id", "label", "mine", "items")
+    rows = stash(rows)
+    full = rows.join(sets, "id").select(*cell, "id", "label", "mine", "items")
 
     def linked_in(part: pa.Table) -> pa.RecordBatch | None:
         n = part.num_rows
@@ -199,9 +213,10 @@ def bridges(docs: DataFrame, members: DataFrame, percent: int, shingle: int) ->
         if rest is not None and (out := linked_in(rest)) is not None:
             yield out
 
-    kind = dict(members.dtypes)["id"]
     dealt = full.repartition(*cell).sortWithinPartitions(*cell)
-    return stash(dealt.mapInArrow(met, f"a {kind}, b {kind}").distinct(), 500)
+    out = stash(dealt.mapInArrow(met, "a long, b long").distinct(), 500)
+    discard(sets, blocks, rows)
+    return out
 
 
 def near_dedup(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
@@ -217,45 +232,55 @@ def near_dedup(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFram
     3. Buckets that still hold several components are compared whole, in blocks, for links between components, again
        on full sets. So every candidate pair is confirmed or lies within a component already.
 
-    Rows with one id count as one document; a null id is its own component and never kept. An empty table gives an
-    empty result; further columns are ignored.
+    Rows are told apart by a number of their own and texts found again by their hash, so each row is a document, also
+    where ids repeat or are null: links go through such rows too, and component_id is the smallest id of the component
+    that is not null. A row with a null id is never kept; of repeated rows each is, if its id is the smallest. An empty
+    table gives an empty result; further columns are ignored. A very long text takes time and memory in proportion to
+    its length, and its set travels to a few of the blocks that it is compared in.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    told = stash(sketched(docs, shingle))
-    known = told.filter("set_key is not null and doc_id is not null")
-    classes = stash(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    reps = known.select("doc_id", "n_shingles", "keys")
-    reps = stash(reps.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    buckets = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    shared = stash(
-        buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot")).filter("c > 1").drop("c")
-    )
+    told = stash(sketched(docs, shingle).withColumn("row", F.monotonically_increasing_id()))
+    classes = told.filter("set_key is not null").groupBy("set_key")
+    classes = stash(classes.agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")))
+    reps = told.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    reps = stash(reps.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "k1", "k2", "keys"))
+    where = reps.select("id", "k1", "k2")
+    buckets = reps.select(F.explode("keys").alias("key"), "id", "n")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("p")).filter("c > 1")
+    shared = stash(shared.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("m")))
     members = stash(buckets.join(shared, "key").distinct())
-    size_of = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")).distinct()
+    discard(shared)
 
     def close(p: str, q: str):
         return 100 * F.least(p, q) >= percent * F.greatest(p, q)
 
-    voted = members.filter("id != pivot").groupBy("id", "n", "pivot").agg(F.count("*").alias("votes"))
-    best = voted.groupBy("id", "n").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("a"))
-    pivot_size = size_of.select(F.col("id").alias("a"), F.col("n").alias("m"))
-    first = stash(stash(best).join(pivot_size, "a").filter(close("n", "m")).select("a", F.col("id").alias("b")).distinct())
-    links = confirmed(docs, first, percent, shingle)
+    voted = members.filter("id != pivot").groupBy("id", "n", "pivot", "m").agg(F.count("*").alias("votes"))
+    best = voted.groupBy("id", "n").agg(F.max_by(F.struct("pivot", "m"), F.struct("votes", "pivot")).alias("p"))
+    best = best.select(F.col("p.pivot").alias("a"), F.col("id").alias("b"), "n", F.col("p.m").alias("m"))
+    first = stash(best.filter(close("n", "m")).select("a", "b"))
+    links = confirmed(docs, first, where, percent, shingle)
     labels = components(links)
     now = stash(
         members.join(labels.select("id", "component"), "id", "left").select(
             "key", "id", F.coalesce("component", "id").alias("label")
         )
     )
+    discard(members, labels, first)
     mixed_keys = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     mixed_keys = stash(mixed_keys.select("key"))
-    more = bridges(docs, stash(now.join(mixed_keys, "key")), percent, shingle)
+    open_keys = stash(now.join(mixed_keys, "key"))
+    discard(now, mixed_keys)
+    more = bridges(docs, open_keys, where, percent, shingle)
     labels = components(links.union(more))
-    rep_of = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    rep_of = stash(rep_of.select("set_key", F.coalesce("component", "rep").alias("c")))
+    discard(open_keys, links, more, reps)
+    linked = classes.join(labels.withColumnRenamed("id", "rep"), "rep")
+    lowest = stash(linked.groupBy("component").agg(F.min("least").alias("c")))
+    rep_of = classes.join(linked.select("rep", "component"), "rep", "left").join(lowest, "component", "left")
+    rep_of = stash(rep_of.select("set_key", F.coalesce("c", "least").alias("c")))
+    discard(classes, labels, lowest)
     return told.join(rep_of, "set_key", "left").select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).cast(kind).alias("component_id"),
+        F.coalesce("c", "doc_id").cast(kind).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("c", "doc_id"), F.lit(False)).alias("kept"),
     )

@@ -11,13 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import stash
+from lumenfold.llm.common import discard, stash, text_keys
 from lumenfold.llm.shingles import hashes, mixed, runs, words
 
 #: Words of a repeat at least, and of an anchor.
 WINDOW, ANCHOR = 35, 8
-#: Ids sent to every executor to pick texts during the scan; beyond, texts are joined by a shuffle alone.
-BROADCAST_IDS = 500_000
+#: Texts whose 16-byte keys are sent to every executor to pick them during the scan; beyond, a shuffle joins them.
+BROADCAST_KEYS = 500_000
 
 
 def anchored(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
@@ -55,12 +55,13 @@ def covered(n_words: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarra
 
 
 def seeded(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, n_words, text_key (same for the same words), whole_sha256, anchors (hash, twice if it repeats)."""
+    """doc_id, k1, k2 (of the text), n_words, text_key (same for the same words), whole_sha256, anchors (hash, twice
+    if it repeats)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, keys, digests, anchors = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(3):
                 found = words(text.as_py())
                 line = b" ".join(found)
                 grams, at = anchored(hashes(found), window, anchor)
@@ -70,33 +71,33 @@ def seeded(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 digests.append(hashlib.sha256(line).hexdigest())
                 anchors.append(np.repeat(own, np.minimum(times, 2)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(digests, pa.string()), pa.array(anchors, pa.list_(pa.int64()))],
-                names=["doc_id", "n_words", "text_key", "whole_sha256", "anchors"],
+                [*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(digests, pa.string()), pa.array(anchors, pa.list_(pa.int64()))],
+                names=["doc_id", "k1", "k2", "n_words", "text_key", "whole_sha256", "anchors"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_words long, text_key binary, whole_sha256 string, anchors array<bigint>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = f"doc_id {kind}, k1 long, k2 long, n_words long, text_key binary, whole_sha256 string, anchors array<bigint>"
+    return docs.select("doc_id", *text_keys(F.col("text")), "text").mapInArrow(run, schema)
 
 
 def picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, text and what wanted (one row per doc_id) has; the texts are picked during the scan if few."""
-    rows = docs.select("doc_id", "text")
-    ids = wanted.select("doc_id")
-    if ids.count() <= BROADCAST_IDS:
-        rows = rows.join(F.broadcast(ids), "doc_id", "left_semi")
-    return rows.join(wanted, "doc_id")
+    """The text of each row of wanted (k1, k2 and more), once; the texts are picked during the scan if few."""
+    rows = docs.select("text", *text_keys(F.col("text")))
+    keys = wanted.select("k1", "k2")
+    if keys.count() <= BROADCAST_KEYS:
+        rows = rows.join(F.broadcast(keys), ["k1", "k2"], "left_semi")
+    return rows.dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"])
 
 
 def extended(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, start, whole, seed: the windows around the anchors that a document shares, each by its hash.
+    """row, start, whole, seed: the windows around the anchors that a document shares, each by its hash.
 
     A window belongs to one anchor; extending a shared anchor both ways gives the windows that belong to it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, seeds in zip(*batch.columns, strict=True):
+            for row, text, seeds in zip(*batch.columns, strict=True):
                 h = hashes(words(text.as_py()))
                 grams, at = anchored(h, window, anchor)
                 shared = np.frombuffer(seeds.values.buffers()[1], np.int64)[
@@ -106,20 +107,19 @@ def extended(rows: DataFrame, window: int, anchor: int) -> DataFrame:
                 whole = window_hashes(grams, len(at), window, anchor)[starts]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([doc_id.as_py()], doc_id.type).take(pa.array(np.zeros(len(starts), np.int32))),
+                        pa.array(np.full(len(starts), row.as_py(), np.int64)),
                         pa.array(starts, pa.int32()),
                         pa.array(whole.view(np.int64)),
                         pa.array((grams[at][starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     ],
-                    names=["doc_id", "start", "whole", "seed"],
+                    names=["row", "start", "whole", "seed"],
                 )
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.select("doc_id", "text", "seeds").mapInArrow(run, f"doc_id {kind}, start int, whole long, seed int")
+    return rows.select("row", "text", "seeds").mapInArrow(run, "row long, start int, whole long, seed int")
 
 
 def trimmed(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """doc_id, n_removed, kept_sha256 (and kept_text) of texts with the starts of their repeated windows."""
+    """row, n_removed, kept_sha256 (and kept_text) of texts with the starts of their repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,12 +135,11 @@ def trimmed(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
                 columns = [part.column(0), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
                 if with_text:
                     columns.append(pa.array(texts, pa.string()))
-                names = ["doc_id", "n_removed", "kept_sha256", "kept_text"][: len(columns)]
+                names = ["row", "n_removed", "kept_sha256", "kept_text"][: len(columns)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return rows.select("doc_id", "text", "starts").mapInArrow(run, schema)
+    schema = "row long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    return rows.select("row", "text", "starts").mapInArrow(run, schema)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -149,38 +148,41 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     Every word covered by a run of `window` words that also starts anywhere else, in another document or the same
     one, is removed; runs are judged on the input. kept_sha256 is of the kept words joined by one space.
 
-    1. Documents with the same words form one class: all their windows repeat; one of them stands for all below.
+    1. Documents with the same words form one class: all their windows repeat; one row stands for all below.
     2. Anchors, winnowed so that each window has one, are counted; those that occur once go (seed).
     3. The windows around shared anchors are hashed (96 bits with the seed) and counted over the whole corpus
        (extend); a hot anchor gives as many rows as it has windows, never pairs. Those that occur once go.
     4. Each document's repeated windows are joined into maximal repeats and cut out.
 
-    Null, empty and short texts lose nothing. Rows with one id and the same words are copies of each other; ids are
-    otherwise expected to be distinct: rows with one id but different texts, or a null id, lose only what repeats in
-    classes. An empty table gives an empty result; further columns are ignored.
+    Rows are told apart by a number of their own and texts found again by their hash, so null ids and ids that several
+    rows share change nothing: each row is a document. Null, empty and short texts lose nothing; repeated rows lose all
+    from `window` words on, as each repeats the other. An empty table gives an empty result; further columns are ignored.
+    A very long text takes time and memory in proportion to its length.
     """
-    told = stash(seeded(docs, window, anchor))
-    classes = told.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = stash(classes)
-    long = told.filter(f"n_words >= {int(window)} and doc_id is not null")
-    reps = long.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    seeds = reps.select("doc_id", F.explode("anchors").alias("seed"))
+    told = stash(seeded(docs, window, anchor).withColumn("row", F.monotonically_increasing_id()))
+    classes = told.groupBy("text_key").agg(F.min(F.struct("row", "k1", "k2")).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = stash(classes.select("text_key", "rep.*", "copies"))
+    reps = told.filter(f"n_words >= {int(window)}").join(classes.select("row"), "row", "left_semi")
+    seeds = reps.select("row", F.explode("anchors").alias("seed"))
     shared = stash(seeds.groupBy("seed").count().filter("count > 1").select("seed"))
-    wanted = stash(
-        seeds.distinct().join(shared, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
-    )
-    windows = stash(extended(picked(docs, wanted).dropDuplicates(["doc_id"]), window, anchor))
+    wanted = seeds.distinct().join(shared, "seed").groupBy("row").agg(F.collect_list("seed").alias("seeds"))
+    wanted = stash(wanted.join(classes.select("row", "k1", "k2"), "row"))
+    windows = stash(extended(picked(docs, wanted), window, anchor))
+    discard(shared, wanted)
     repeated = stash(windows.groupBy("whole", "seed").count().filter("count > 1").select("whole", "seed"))
-    single = classes.filter("copies = 1").select(F.col("rep").alias("doc_id"))
-    starts = windows.join(repeated, ["whole", "seed"]).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    starts = stash(starts.join(single, "doc_id", "left_semi"))
+    single = classes.filter("copies = 1").select("row", "k1", "k2")
+    starts = windows.join(repeated, ["whole", "seed"]).groupBy("row").agg(F.collect_list("start").alias("starts"))
+    starts = stash(starts.join(single, "row"))
+    discard(windows, repeated)
     cut = stash(trimmed(picked(docs, starts), window, False))
+    discard(starts)
     copied = stash(classes.filter("copies > 1").select("text_key"))
+    discard(classes)
     gone = F.col("copied") & (F.col("n_words") >= window)
     return (
         told.drop("anchors")
         .join(copied.withColumn("copied", F.lit(True)), "text_key", "left")
-        .join(cut, "doc_id", "left")
+        .join(cut, "row", "left")
         .select(
             "doc_id",
             "n_words",
