@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import math
+import random
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +19,10 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 #: An entity has so many tokens at most.
 MOST_TOKENS = 16
-#: Islands of the bounded training sample, and passes over it.
+#: Islands with and without base spans in the bounded training sample, each, and passes over it.
 SAMPLE, EPOCHS = 300, 5
+#: Made negatives of each sort: dates, times, versions, order numbers, prices, measures.
+MADE = 40
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # The base patterns with possessive repeats and anchors where these cannot change a match, so that time is linear.
@@ -28,6 +33,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
 _CHUNK = re.compile(r"\S+")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
+_BETWEEN = re.compile(r"[-./()+]{1,3}")
+_DATE = re.compile(r"(?:[12][0-9]{3}([-./])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([-./])[01]?[0-9]\2[12][0-9]{3})")
 
 Span = tuple[int, int, int]  # kind (1..4), start, end
 
@@ -75,22 +82,25 @@ def base_spans(text: str) -> list[Span]:
 
 
 def islands(text: str) -> Iterator[tuple[int, str]]:
-    """Where entities can be: runs of neighbouring chunks that all hold a digit or `@`, one blank between them.
+    """Where entities can be: runs of chunks that hold a digit or `@`, one blank between neighbours; a chunk of up to
+    three separating signs (a dash alone, say) may stand between two of them.
 
     No segment without a digit or `@` may be an entity, so outside the islands the best labelling is `none`.
     """
     if not _TRIGGER.search(text):
         return
-    start = end = -1
+    start = end = reach = -1
     for m in _CHUNK.finditer(text):
+        beside = reach >= 0 and m.start() == reach + 1 and text[reach] == " "
         if not _TRIGGER.search(m.group()):
+            reach = m.end() if beside and reach == end and _BETWEEN.fullmatch(m.group()) else -1
             continue
-        if start >= 0 and not (m.start() == end + 1 and text[end] == " "):
+        if start >= 0 and not beside:
             yield start, text[start:end]
             start = -1
         if start < 0:
             start = m.start()
-        end = m.end()
+        end = reach = m.end()
     if start >= 0:
         yield start, text[start:end]
 
@@ -99,7 +109,7 @@ def islands(text: str) -> Iterator[tuple[int, str]]:
 FEATURES = (
     "bias", "at", "domain", "three_dots", "octets", "luhn", "letters", "plus", "parens", "space", "dash",
     "digits_1_3", "digits_4_8", "digits_9_12", "digits_13_15", "digits_16_19", "digits_20", "ends_alnum",
-    "left_blank", "right_blank", "grouped", "other_signs",
+    "left_blank", "right_blank", "grouped", "other_signs", "dotted_not_octets", "long_not_luhn", "date", "colon", "dots",
 )
 
 
@@ -132,6 +142,11 @@ def features(s: str, left: str, right: str) -> list[int]:
         not right or right in " .,;:!?)",
         len(re.findall(r"[0-9]+", s)) >= 3,
         bool(kinds - set(" ().+-@")),
+        s.count(".") >= 2 and all(p.isdigit() and p.isascii() for p in parts) and not (len(parts) == 4 and all(map(_small, parts))),
+        13 <= n <= 19 and not luhn(digits),
+        _DATE.fullmatch(s) is not None,
+        ":" in s,
+        "." in s,
     )
     return [i for i, h in enumerate(held) if h]
 
@@ -281,32 +296,72 @@ class SemiCrf:
 
 
 def variants(text: str, gold: list[Span]) -> list[tuple[str, list[Span]]]:
-    """An island, and it again with numbers written in ways the base patterns miss: a phone without its plus, a card
-    in groups joined by dots."""
+    """An island, and it again in ways the base patterns miss or reject.
+
+    Written otherwise, and still personal: a phone without its plus, a card in groups joined by dots. Made wrong, and
+    so no entity: a card whose check digit is off by one, an address with a part over 255.
+    """
     out = [(text, gold)]
     if len(gold) == 1:
         y, a, b = gold[0]
         if KINDS[y - 1] == "phone":
             out.append((text[:a] + text[a + 1 :], [(y, a, b - 1)]))
-        if KINDS[y - 1] == "card" and text[a:b].isdigit():
-            dotted = ".".join(text[k : min(k + 4, b)] for k in range(a, b, 4))
-            out.append((text[:a] + dotted + text[b:], [(y, a, a + len(dotted))]))
+        if KINDS[y - 1] == "card":
+            out.append((text[: b - 1] + str((int(text[b - 1]) + 1) % 10) + text[b:], []))
+            if text[a:b].isdigit():
+                dotted = ".".join(text[k : min(k + 4, b)] for k in range(a, b, 4))
+                out.append((text[:a] + dotted + text[b:], [(y, a, a + len(dotted))]))
+        if KINDS[y - 1] == "ip":
+            last = text[a:b].rpartition(".")[0]
+            out.append((f"{text[:a]}{last}.{300 + b % 600}{text[b:]}", []))
     return out
 
 
+def negatives(count: int = MADE, seed: int = 3) -> list[tuple[str, list[Span]]]:
+    """Made islands that are no personal data though they look alike: dates, times, versions, order numbers, long runs
+    of digits that fail the check sum, dotted numbers beyond 255, prices and measures."""
+    r = random.Random(seed)
+    digits = lambda n: str(r.randrange(1, 10)) + "".join(r.choice("0123456789") for _ in range(n - 1))
+    out = []
+    for _ in range(count):
+        year, month, day = r.randrange(1900, 2100), r.randrange(1, 13), r.randrange(1, 29)
+        out += [f"{year}-{month:02}-{day:02}", f"{day:02}.{month:02}.{year}", f"{day}/{month}/{year}"]
+        out += [f"{year}-{month:02}-{day:02} {r.randrange(24):02}:{r.randrange(60):02}", f"{year} - {r.randrange(1900, 2100)}"]
+        out += [f"{r.randrange(30)}.{r.randrange(30)}.{r.randrange(300)}", f"v{r.randrange(9)}.{r.randrange(30)}.{r.randrange(30)}"]
+        out += [digits(r.randrange(1, 9)), "#" + digits(8), digits(r.randrange(1, 4)) + "-" + digits(r.randrange(3, 6))]
+        out += [f"{digits(3)}.{digits(3)}.{r.randrange(256)}.{r.randrange(256, 1000)}", f"${digits(3)}.{digits(2)}", digits(2) + "%"]
+        long = digits(r.randrange(13, 20))
+        out.append(long if not luhn(long) else long[:-1] + str((int(long[-1]) + 1) % 10))
+    return [(t, []) for t in out]
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, longest: int = 200) -> SemiCrf:
-    """Fit on a bounded sample: the `sample` islands (of `longest` characters at most) first by hash, labelled by the
-    base patterns. Islands without a span are as likely as they are in the data."""
+    """Fit on a bounded sample: of the distinct islands of all texts (of `longest` characters at most) with base spans
+    the `sample` first by hash, and so of those without, labelled by the base patterns; besides, their variants and
+    the made negatives. Each task passes on 2 x sample islands at most, so little is shuffled."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[bool, dict[str, int]] = {True: {}, False: {}}
         for batch in batches:
-            texts = sorted({s for t in batch.column(0) for _, s in islands(t.as_py() or "") if len(s) <= longest})
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["island"])
+            for text in batch.column(0):
+                for _, s in islands(text.as_py() or ""):
+                    if len(s) <= longest:
+                        first[bool(base_spans(s))][s] = xxhash.xxh64_intdigest(s) >> 1
+            for gold, known in first.items():
+                if len(known) > sample:
+                    first[gold] = dict(heapq.nsmallest(sample, known.items(), key=lambda x: (x[1], x[0])))
+        for gold, known in first.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(known), pa.string()), pa.array(list(known.values()), pa.int64()), pa.array([gold] * len(known), pa.bool_())],
+                names=["island", "h", "gold"],
+            )
 
-    rows = docs.select("text").mapInArrow(found, "island string").distinct()
-    picked = rows.orderBy(F.xxhash64("island"), "island").limit(sample).collect()
-    examples = [v for r in picked for v in variants(r[0], base_spans(r[0]))]
-    return SemiCrf().learn(examples)
+    rows = docs.select("text").mapInArrow(found, "island string, h long, gold boolean").distinct()
+    picked = [r[0] for gold in (True, False) for r in rows.filter(F.col("gold") == gold).orderBy("h", "island").limit(sample).collect()]
+    examples = [v for t in picked for v in variants(t, base_spans(t))]
+    mixed = examples + negatives()
+    random.Random(1).shuffle(mixed)
+    return SemiCrf().learn(mixed)
 
 
 def all_spans(text: str, model: SemiCrf) -> tuple[list[Span], list[Span]]:
@@ -333,8 +388,8 @@ def find_pii(docs: DataFrame, model: SemiCrf) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for each row of docs.
 
     Counts and digest are of the base spans; spans are these and the ones the model adds, as kind:start:end in code
-    points. Null and empty texts have none. Rows are independent: repeated ones give equal results, an empty table an
-    empty one; further columns are ignored. Time and memory follow the length of a text.
+    points. Null and empty texts have none. Rows are independent: repeated ones give equal results, also under one id
+    or a null one, an empty table an empty result; further columns are ignored. Time and memory follow a text's length.
     """
     told = model.dump()
 
