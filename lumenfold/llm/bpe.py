@@ -220,21 +220,26 @@ def encode_docs(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool =
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs, and ids (array of int) on request.
 
     Each match of pattern is encoded by itself, without special tokens; then the ids are decoded again. A null text
-    counts as empty and has no tokens. Rows are independent: repeated ones give the same result, an empty table an
-    empty one; further columns are ignored. A very long text takes time and memory in proportion to its length.
+    counts as empty and has no tokens. Rows are independent: repeated ones give the same result, also under one id or a
+    null one, and a text that comes again right after itself is encoded once; an empty table gives an empty result;
+    further columns are ignored. A very long text takes time and memory in proportion to its length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary, pattern)
+        last, told, decoded = None, "", ""
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 counts, ids_sha, decoded_sha, ids = [], [], [], []
                 for text in part.column(1):
-                    told = coder.encode(text.as_py() or "")
+                    text = text.as_py() or ""
+                    if text != last:
+                        last, told = text, coder.encode(text)
+                        decoded = hashlib.sha256(coder.decode(told)).hexdigest()
                     counts.append(told.count(",") + 1 if told else 0)
                     ids_sha.append(hashlib.sha256(told.encode()).hexdigest())
-                    decoded_sha.append(hashlib.sha256(coder.decode(told)).hexdigest())
+                    decoded_sha.append(decoded)
                     if with_ids:
                         ids.append(np.fromstring(told, np.int32, sep=",") if told else [])
                 columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import SPACE, stash
+from lumenfold.llm.common import SPACE, discard, stash
 
-#: Up to so many surviving (length, prefix) keys go to every executor (about 20 bytes each); beyond, rows are shuffled.
+#: Up to so many surviving (length, prefix) keys go to every executor (12 bytes each); beyond, rows are shuffled.
 BROADCAST_KEYS = 200_000
 
 
@@ -28,9 +28,10 @@ def exact_dedup(
     needed. Levels 1 and 2 run on a narrow table of lengths and hashes. A hot group is counted map-side and joined
     back by a join that can be split; texts themselves are shuffled only if the surviving keys exceed BROADCAST_KEYS.
 
-    Null and empty texts form one group. Repeated rows with one id share their keep_id and are kept or dropped
-    alike. A row with a null id stays only if its whole group has null ids (kept is then false: there is no id to
-    compare). An empty table gives an empty result; further columns of docs are ignored.
+    Null and empty texts form one group. Ids may be of any type that has an order. Repeated rows with one id share
+    their keep_id and are kept or dropped alike. Rows with a null id come last: they give way to any other row of their
+    group, and where all ids are null keep_id is null and kept false. A very long text is read whole, where its prefix
+    is shared. An empty table gives an empty result; further columns of docs are ignored, whatever their names.
     """
     squeeze = squeezed(F.col("text"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(
@@ -55,14 +56,15 @@ def exact_dedup(
             (digest if digest_all else F.when(F.col("survives"), digest)).alias("text_sha256"),
         )
     )
-    best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("order")))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("points")).alias("less"), "doc_id"))
     groups = stash(
         hashed.filter("survives")
         .groupBy("text_sha256")
         .agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
-        .select("text_sha256", F.bitwise_not("best.order").alias("keep_id"), "group_size")
+        .select("text_sha256", F.col("best.doc_id").alias("keep_id"), "group_size")
     )
+    discard(narrow, same_size, same_head)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return hashed.join(groups, "text_sha256", "left").select(
         "doc_id",

@@ -23,7 +23,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     Targets share the sum of all sizes by weight and stop at most x source_size; the excess is reshared by weight
     until none is above. That is the level L with sum(min(cap, L x weight)) = total: sources are sorted by
     cap / weight, and L is taken where the first source stays below its cap. One row per source, so the windows run
-    over as many rows as there are sources, not documents.
+    in one task over as many rows as there are sources, not documents: meant for up to some millions of sources.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1)
@@ -54,7 +54,8 @@ def rates(docs: DataFrame, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """doc_id, source, size, source_size, target, copies for each row of docs.
 
     A null text or one without words has size 0; null is a source of its own, after all others. A source of size 0
-    has target 0 and is not taken. Repeated ids are drawn alike. An empty table gives an empty result. Word counts are
+    has target 0 and is not taken. Rows with one id, or a null one, are drawn alike. An empty table gives an empty
+    result; further columns are ignored; a very long text is one regular expression's count, in one pass. Word counts are
     taken in one scan of the texts and written; sources are summed map-side first, and the sums are joined back by a
     join that can be split, so that a source with a third of all rows is harmless. Two runs give the same copies.
     """
@@ -68,21 +69,18 @@ def rates(docs: DataFrame, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """docs with each row repeated as the mix takes it, columns unchanged.
+    """docs with each row repeated as the mix takes it, columns unchanged, whatever their names.
 
-    The rates come from rates(); a document's copies are made where it is read, from a narrow table of one rate per
-    source, so that texts are not shuffled for it.
+    The rates come as in rates(), for null texts, ids and sources too; an empty table stays empty. A document's copies
+    are made where it is read, one behind the other, from a narrow table of one rate per source, so that texts are not
+    shuffled for it.
     """
     sizes = docs.select("source", n_words(F.col("text")).alias("size")).groupBy("source")
     aims = stash(targets(sizes.agg(F.sum("size").alias("source_size")))).select(
-        F.col("source").alias("__of"),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"),
-    )
-    drawn = docs.join(aims, docs.source.eqNullSafe(aims["__of"]))
-    n = copies(F.col("doc_id"), F.col("__rate"), seed)
-    return (
-        drawn.withColumn("__n", n.cast("int"))
-        .filter("__n > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-        .select(*docs.columns)
+        F.col("source").alias("of"),
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
     )
+    drawn = docs.select(F.struct(*docs.columns).alias("row")).join(aims, F.col("row.source").eqNullSafe(F.col("of")))
+    n = copies(F.col("row.doc_id"), F.col("rate"), seed).cast("int")
+    taken = drawn.withColumn("n", n).filter("n > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

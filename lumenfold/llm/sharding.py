@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 #: Shards to a rack and racks to a region of the default tree.
 FANOUT = (2, 2)
-#: Each shard's rows are numbered within so many hashed cells; the table of cell counts has at most shards x CELLS rows.
-CELLS = 1024
+#: Rows of a hashed cell of a shard, on the mean; each cell is numbered by itself.
+CELL = 20_000
+#: Up to so many cells their starts (20 bytes each) go to every executor; beyond, they are joined by a shuffle.
+BROADCAST_CELLS = 500_000
 
 
 def default_tree(shards: int, base: int = 8, fanout: tuple[int, int] = FANOUT) -> dict[int, tuple[int, int, float]]:
@@ -62,18 +64,21 @@ def place(key: Column, tree: dict[int, tuple[int, int, float]]) -> Column:
 
 
 def shard_rows(
-    docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS
+    docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs, under the law `key`.
 
     Shard and grown shard follow from the id and the number of shards alone; with one shard more, rows move only
     into the new one. Slots number each shard's rows from 0 without gaps, ordered by hashed cell and then id: each
     (shard, cell) is numbered on its own and shifted by the rows of the cells before it, so that no shard is ever
-    in one task. The broadcast table has at most shards x cells rows.
+    in one task. Cells grow in number with the rows, so that a cell does not grow.
 
-    A null text has size 1 and checksum 0. All rows with a null id go to one shard; repeated ids share a shard and
-    get slots of their own. An empty table gives an empty result; further columns are ignored.
+    A null text has size 1 and checksum 0, a very long one is hashed where it is read. All rows with a null id go to
+    one shard and cell; repeated ids share a shard and get slots of their own, in order of checksum and size, so that
+    only rows equal in all three may change places. An empty table gives an empty result; further columns are ignored.
     """
+    if cells is None:
+        cells = max(64, math.ceil(docs.count() / shards / CELL))
     from pyspark.sql import Window
 
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -101,7 +106,7 @@ def shard_rows(
     own = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size")
     return (
         placed.withColumn("at", F.row_number().over(own) - 1)
-        .join(F.broadcast(starts), ["shard", "cell"])
+        .join(F.broadcast(starts) if shards * cells <= BROADCAST_CELLS else starts, ["shard", "cell"])
         .select(
             "doc_id",
             "size",
