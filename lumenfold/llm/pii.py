@@ -335,6 +335,13 @@ def negatives(count: int = MADE, seed: int = 3) -> list[tuple[str, list[Span]]]:
     return [(t, []) for t in out]
 
 
+def examples(found: list[str]) -> list[tuple[str, list[Span]]]:
+    """What the model learns from: islands labelled by the base patterns, their variants, the made negatives; mixed."""
+    out = [v for t in found for v in variants(t, base_spans(t))] + negatives()
+    random.Random(1).shuffle(out)
+    return out
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, longest: int = 200) -> SemiCrf:
     """Fit on a bounded sample: of the distinct islands of all texts (of `longest` characters at most) with base spans
     the `sample` first by hash, and so of those without, labelled by the base patterns; besides, their variants and
@@ -358,10 +365,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, longest: int = 200) -> SemiCrf:
 
     rows = docs.select("text").mapInArrow(found, "island string, h long, gold boolean").distinct()
     picked = [r[0] for gold in (True, False) for r in rows.filter(F.col("gold") == gold).orderBy("h", "island").limit(sample).collect()]
-    examples = [v for t in picked for v in variants(t, base_spans(t))]
-    mixed = examples + negatives()
-    random.Random(1).shuffle(mixed)
-    return SemiCrf().learn(mixed)
+    return SemiCrf().learn(examples(picked))
 
 
 def all_spans(text: str, model: SemiCrf) -> tuple[list[Span], list[Span]]:
