@@ -1,6 +1,7 @@
 """Links and components of planted vectors against brute force."""
 
 import numpy as np
+import pytest
 
 from lumenfold.llm import embedding_dedup as E
 
@@ -50,22 +51,69 @@ def test_chain_within_a_block():
     assert E.joined(near, np.array([9, 7, 8, 5, 6])).tolist() == [9, 5, 5, 5, 5]
 
 
-def test_recall_where_vectors_share_a_direction(spark):
-    """Links just over the threshold among rows whose mean has norm 0.85: centring widens their angle from 22 to 42 degrees."""
+def frame(spark, x):
+    return spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+
+
+@pytest.mark.parametrize(("shift", "planned"), [(0, None), (1.5, None), (3, None), (1, (8, 1, 6)), (1, (8, 0, 24))])
+def test_recall_where_vectors_share_a_direction(spark, shift, planned):
+    """Links just over the threshold; a common direction widens their angle after centring. Two plans are fixed: one that
+    probes neighbouring keys, one that doesn't."""
     rng = np.random.default_rng(2)
     mean = unit(rng.standard_normal(64))
-    x = unit(mean + 0.62 * rng.standard_normal((1000, 64)) / 8)
+    x = unit(shift * mean + rng.standard_normal((800, 64)) / 8)
     x = np.concatenate([x, beside(rng, x, 0.932)])
-    assert 0.8 < np.linalg.norm(x.mean(axis=0)) < 0.9
     near = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
-    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    told = {r.vec_id: r.n_links for r in E.embedding_dedup(rows).collect()}
-    told = np.array([told[i] for i in range(len(x))])
-    print("recall", told.sum() / near.sum(), "links", near.sum() // 2)
-    assert (told <= near.sum(axis=1)).all()
-    assert told.sum() >= 0.985 * near.sum()
+    told = {r.vec_id: r for r in E.embedding_dedup(frame(spark, x), planned=planned).collect()}
+    links = np.array([told[i].n_links for i in range(len(x))])
+    assert (links <= near.sum(axis=1)).all()
+    assert links.sum() >= 0.985 * near.sum()
+    assert planned or told[0].index_recall >= 0.99
+
+
+def test_buckets_of_many_blocks(spark, monkeypatch):
+    """One dense group in one bucket, dealt out as pairs of blocks, with guests from neighbouring keys."""
+    monkeypatch.setattr(E, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([unit(unit(rng.standard_normal(16)) + 0.09 * rng.standard_normal((90, 16))), unit(rng.standard_normal((30, 16)))])
+    near = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    for planned in ((0, 0, 1), (4, 1, 24)):
+        told = {r.vec_id: r for r in E.embedding_dedup(frame(spark, x), planned=planned).collect()}
+        links = np.array([told[i].n_links for i in range(len(x))])
+        assert (links <= near.sum(axis=1)).all() and links.sum() >= (1 if planned[0] == 0 else 0.99) * near.sum()
+        assert [told[i].component_id for i in range(len(x))] == smallest_reached(near).tolist() or planned[0]
 
 
 def test_all_pairs_where_no_tables_pay():
     """Rows so close to the centre that a pair's angle there says little: one table, where all rows of a label meet."""
-    assert E.plan(2000, 64, 0.93, np.full(100, 0.15)) == (0, 1)
+    rng = np.random.default_rng(1)
+    x = unit(unit(rng.standard_normal(64)) + 0.15 * rng.standard_normal((400, 64)) / 8)
+    assert E.plan(E.Coder(x, 64), 2000, 0.93)[:3] == (0, 0, 1)
+
+
+def test_bits_are_balanced():
+    rng = np.random.default_rng(1)
+    x = unit(0.7 + rng.standard_normal((1000, 32)) * np.linspace(0.1, 2, 32))
+    coder = E.Coder(x, 32)
+    coder.grow(2)
+    share = coder.bits(x).mean(axis=0)
+    assert share.shape == (64,) and abs(share - 0.5).max() < 0.01
+
+
+def test_equal_vectors_null_and_repeated_ids(spark):
+    """Classes of equal vectors count each row; ids that are null or shared change nothing for the others."""
+    a, b, far = [1.0, 0.0, 0.0], [0.99, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, a, 1), (5, far, 1), (None, a, 1), (3, b, 1), (3, b, 1), (9, a, 2), (8, a, None), (7, [], 1), (6, [float("inf")] * 3, 1)]
+    told = E.embedding_dedup(spark.createDataFrame([(*r, 0) for r in rows], "vec_id int, embedding array<float>, label int, row int")).collect()
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in told), key=str)
+    want = [(5, 3, 3, False), (5, 0, 5, True), (None, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True), (9, 0, 9, True), (8, 0, 8, True), (7, 0, 7, True), (6, 0, 6, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_a_vector_that_half_of_all_rows_share(spark):
+    rows = spark.range(4000).selectExpr("id AS vec_id", "1 AS label", "if(id % 2 = 0, array(1.0D, 2.0D), array(cos(id), sin(id))) AS embedding")
+    told = {r.vec_id: r for r in E.embedding_dedup(rows).collect()}
+    x = np.array([[1, 2] if i % 2 == 0 else [np.cos(i), np.sin(i)] for i in range(4000)])
+    near = unit(x.astype(float)) @ unit(x.astype(float)).T >= 0.93
+    links = np.array([told[i].n_links for i in range(4000)])
+    assert links.sum() >= 0.99 * (near.sum() - 4000) and told[0].n_links >= 1999
