@@ -31,7 +31,7 @@ def latest(scans: DataFrame, keep: int) -> DataFrame:
     return scans.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= keep).drop("__n")
 
 
-def as_json(scans: DataFrame, columns: list[str]) -> DataFrame:
-    """value: each project's scans in order of time, as one JSON list."""
+def as_json(scans: DataFrame, columns: list[str], keep: int) -> DataFrame:
+    """value: each project's last `keep` scans in order of time, as one JSON list."""
     held = F.sort_array(F.collect_list(F.struct("ts", "scan_id", F.struct(*columns).alias("told"))))
-    return scans.groupBy("project").agg(F.to_json(F.transform(held, lambda x: x["told"])).alias("value"))
+    return latest(scans, keep).groupBy("project").agg(F.to_json(F.transform(held, lambda x: x["told"])).alias("value"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.scan import stripped
+
 
 def lines(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """path, line (from 1), text; CRLF and CR count as LF; null content has no lines."""
@@ -28,9 +30,14 @@ def code_files(spark, root: str, suffixes: tuple[str, ...]) -> DataFrame:
 
 
 def requirements(rows: DataFrame) -> DataFrame:
-    """(path, line, text) of pinned requirement files -> name, version (null if none), source_file."""
-    text = F.trim(F.regexp_replace("text", r"\s*#.*$", ""))
-    name = F.regexp_extract(text, r"^([A-Za-z0-9_.-]+)", 1)
-    version = F.regexp_extract(text, r"[=~><!]=\s*([0-9A-Za-z.*+-]+)", 1)
-    told = rows.select(F.col("path").alias("source_file"), name.alias("name"), version.alias("version"))
+    """(path, line, text) of requirement files -> name, version (null if none), source_file.
+
+    Lines that begin with a hash, a dash (options) or a dot (local folders) hold no package. The version is what follows
+    the first run of comparison signs, up to white space, a semicolon, a comma or a hash.
+    """
+    text = stripped(F.col("text"))
+    found = r"^([A-Za-z0-9_.\-]+)\s*(?:[=~!<>]+\s*([^\s;,#]+))?"
+    told = rows.filter(~text.rlike(r"^[#.\-]")).select(
+        F.col("path").alias("source_file"), F.regexp_extract(text, found, 1).alias("name"), F.regexp_extract(text, found, 2).alias("version")
+    )
     return told.filter("name <> ''").withColumn("version", F.expr("nullif(version, '')"))
