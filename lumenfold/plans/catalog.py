@@ -502,52 +502,114 @@ def _made_lines(rows: DataFrame, key: str, *texts: str) -> DataFrame:
     return told.select("path", (F.col("at") + 1).alias("line"), "text")
 
 
-_SQL_PARTS = "WITH p AS (SELECT p_partkey AS k, p_partkey AS source_file, 'p' || p_partkey AS name, p_size::VARCHAR AS v FROM part)"
+def _manifest(spark: SparkSession, d: str, text: str) -> DataFrame:
+    """A manifest for each part: {k} is its key, {v} its size."""
+    made = F.replace(F.replace(F.lit(text), F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{v}"), F.col("p_size").cast("string"))
+    return _read(spark, d, "part").select(F.col("p_partkey").alias("path"), made.alias("content"))
 
 
-@query(f"""{_SQL_PARTS} SELECT source_file, name, v AS version FROM p UNION ALL SELECT source_file, 'lib.x', '2.' || v FROM p""")
-def s20_pyproject(spark, d):
-    rows = _made_lines(_read(spark, d, "part"), "p_partkey", "'[tool.poetry.dependencies]'", "'python = \"^3.9\"'",
-                       "'p' || p_partkey || ' = \"^' || p_size || '\"'", "'lib.x= {>=2.' || p_size || ' }'", "'# none'")
-    return manifests.pyproject(rows)
+def _told(*found: tuple) -> str:
+    """SQL of what each part's manifest tells."""
+    return f"""WITH r(name, version) AS (VALUES {_values(list(found))}) SELECT p_partkey AS source_file,
+      replace(replace(name, '{{k}}', p_partkey::VARCHAR), '{{v}}', p_size::VARCHAR) AS name, replace(replace(version, '{{k}}', p_partkey::VARCHAR), '{{v}}', p_size::VARCHAR) AS version FROM part, r"""
 
 
-@query(f"""{_SQL_PARTS} SELECT source_file, name, v AS version FROM p UNION ALL SELECT source_file, 'dev-' || v, NULL FROM p WHERE k % 2 = 0
-    UNION ALL SELECT source_file, 'dev-' || v, '1.' || v FROM p WHERE k % 2 = 1 UNION ALL SELECT source_file, 'peer', v || '.x' FROM p""")
+@query(_told(("one", "{v}"), ("two", "2.{k}"), ("three", None), ("opt", "1"), ("build", "40"), ("p{k}", "{v}"), ("tab-le", "3.{v}"), ("any", "*"), ("q.t", "5"), ("dev", None)))
+def s20_pyproject(spark, d):
+    return manifests.pyproject(_manifest(spark, d, """# top
+[build-system]
+requires = ["build>=40"]
+[project]
+name = "me"  # own
+dependencies = [
+  "one=={v}",  # first
+  "two[x,y] >=2.{k},<9 ; python_version > '3'",
+  'three',
+]
+[project.optional-dependencies]
+more = ["opt~=1"]
+[tool.poetry.dependencies]
+python = "^3.9"
+p{k} = "^{v}"
+tab-le = { git = "x", version = ">=3.{v}" }
+any = "*"
+"q.t" = '5'
+[ tool . poetry . group . "test" . dependencies ]
+dev = { path = "../dev" }
+[tool.other]
+line = "1"
+"""))
+
+
+@query(_told(("p{k}", "{v}"), ("dev-{v}", None), ("til-{v}", "1.{v}"), ("peer", "{v}.x"), ("opt", "2")))
 def s21_package_json(spark, d):
-    made = """concat('{"name": "n", "dependencies": {"p', p_partkey, '": "^', p_size, '"}, "devDependencies": {"dev-', p_size, '": ',
-      if(p_partkey % 2 = 0, '{"version": "1"}', concat('"~1.', p_size, '"')), '}, "peerDependencies": {"peer": ">=', p_size, '.x"}}')"""
-    files = _read(spark, d, "part").select(F.col("p_partkey").alias("path"), F.expr(made).alias("content"))
-    broken = files.select("path", F.lit('{"dependencies": {').alias("content"))
-    return manifests.package_json(files.union(broken))
+    files = _manifest(spark, d, """{"name": "n", "dependencies": {"p{k}": "^{v}"}, "devDependencies": {"dev-{v}": {"version": "1"}, "til-{v}": "~1.{v}"},
+      "peerDependencies": {"peer": ">={v}.x"}, "optionalDependencies": {"opt": "2"}}""")
+    return manifests.package_json(files.union(files.select("path", F.lit('{"dependencies": {').alias("content"))))
 
 
-@query(f"{_SQL_PARTS} SELECT source_file, name, v AS version FROM p UNION ALL SELECT source_file, 'b-' || v, '0.' || v FROM p")
+@query(_told(("p{k}", "{v}"), ("full", "1.{v}"), ("local", None), ("b-{v}", "0.{v}"), ("win", "7"), ("own", "{k}"), ("dot", "3")))
 def s22_cargo(spark, d):
-    """The section that is open holds for each line: one sort by file and line."""
-    rows = _made_lines(_read(spark, d, "part"), "p_partkey", "'early = \"1\"'", "'[package]'", "'version = \"0.1\"'", "' [dependencies] '",
-                       "'p' || p_partkey || ' = \"=' || p_size || '\"'", "'[features]'", "'std = \"x\"'", "'[build-dependencies]'", "'b-' || p_size || '=\"0.' || p_size || '\"'")
-    return manifests.cargo(rows)
-
-
-@query(f"{_SQL_PARTS} SELECT source_file, 'ex.org/' || name AS name, 'v1.' || v AS version FROM p UNION ALL SELECT source_file, 'one/a-b', 'v0.' || v FROM p UNION ALL SELECT source_file, 'two', 'v2' FROM p")
+    return manifests.cargo(_manifest(spark, d, """early = "1"
+[package]
+version = "0.1"
+[ dependencies ]  # these
+p{k} = "={v}"
+full = { version = "1.{v}", features = ["a", "b"] }
+local = { path = "x" }
+dot.version = "3"
+[features]
+std = ["x"]
+[build-dependencies]
+"b-{v}"="0.{v}"
+[target.'cfg(windows)'.dependencies]
+win = "~7"
+[dependencies.own]
+version = "{k}"
+optional = true
+"""))
+
+
+@query(_told(("ex.org/p{k}", "v1.{v}"), ("one/a-b", "v0.{v}"), ("two", "v2.0.0-rc1+x"), ("last", "v9")))
 def s23_go_mod(spark, d):
-    rows = _made_lines(_read(spark, d, "part"), "p_partkey", "'module m'", "'require one/a-b v0.' || p_size", "'out v9'", "'require ('",
-                       "'\tex.org/p' || p_partkey || ' v1.' || p_size", "' two v2 // indirect'", "')'", "'after v3'")
-    return manifests.go_mod(rows)
-
-
-@query(f"{_SQL_PARTS} SELECT source_file, 'g' || v || ':' || name AS name, v AS version FROM p UNION ALL SELECT source_file, 'h:free', NULL FROM p")
+    return manifests.go_mod(_manifest(spark, d, """module m
+require one/a-b v0.{v}
+out v9
+require (
+	ex.org/p{k} v1.{v}
+ two v2.0.0-rc1+x // indirect
+ // gone v1
+)
+replace ( two => ../two
+)
+exclude no v1
+require last v9
+after v3
+"""))
+
+
+@query(_told(("g{v}:p{k}", "{v}"), ("h:free", None), ("m:managed", "2"), ("f:prof", "3")))
 def s24_pom(spark, d):
-    made = """concat('<project><version>9</version><dependency>\n<groupId>g', p_size, '</groupId><artifactId>p', p_partkey, '</artifactId>\n<version>', p_size,
-      '</version></dependency><dependency><groupId>h</groupId><artifactId>free</artifactId></dependency><dependency><groupId>half</groupId></dependency></project>')"""
-    return manifests.pom(_read(spark, d, "part").select(F.col("p_partkey").alias("path"), F.expr(made).alias("content")))
+    return manifests.pom(_manifest(spark, d, """<?xml version="1.0"?><project><version>9</version><dependencies><dependency>
+<!-- one --><groupId>g{v}</groupId><scope>test</scope><artifactId> p{k} </artifactId>
+<version>{v}</version></dependency><dependency><groupId>h</groupId><artifactId>free</artifactId></dependency><dependency><groupId>half</groupId></dependency></dependencies>
+<dependencyManagement><dependencies><dependency><artifactId>managed</artifactId><groupId>m</groupId><version>2</version></dependency></dependencies></dependencyManagement>
+<profiles><profile><dependencies><dependency><groupId>f</groupId><artifactId>prof</artifactId><version>3</version></dependency></dependencies></profile></profiles></project>"""))
 
 
-@query(f"{_SQL_PARTS} SELECT source_file, 'com.g:' || name AS name, v || '.0-jre' AS version FROM p")
+@query(_told(("com.g:p{k}", "{v}.0-jre"), ("a:b", None), ("n:m", "{v}"), ("x:y", "1"), ("v:ar", None), ("k:apt", "2")))
 def s25_gradle(spark, d):
-    rows = _made_lines(_read(spark, d, "part"), "p_partkey", "'dependencies {'", "'  implementation \"com.g:p' || p_partkey || ':' || p_size || '.0-jre\"'", "'  runtime \"a:b:1\"'", "'}'")
-    return manifests.gradle(rows)
+    return manifests.gradle(_manifest(spark, d, """dependencies {
+  implementation "com.g:p{k}:{v}.0-jre"
+  api 'a:b'
+  // compile "no:no:1"
+  testImplementation group: 'n', name: 'm', version: '{v}'
+  runtimeOnly(
+    "x:y:1")
+  compileOnly "v:ar:$version"
+  kapt("k:apt:2@aar")
+  other "q:r:1"
+}"""))
 
 
 @query("""SELECT 'src/f' || o_orderkey || '.c' AS path, CASE WHEN o_orderkey % 3 = 0 THEN 'R' ELSE 'M' END AS status,

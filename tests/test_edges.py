@@ -5,19 +5,13 @@ import pytest
 from lumenfold.operators import flow
 from lumenfold.sources import diffs, manifests
 
-ODD = [None, "", "[", ")", "require (", "= \"1\"", "a = \"\"", "\r\n", "x" * 100_000]
+ODD = [None, "", "[", ")", "require (", "= \"1\"", "a = \"\"", "\r\n", "x" * 100_000, "[]", '{"dependencies": 3}', "<dependency></dependency>", "[dependencies]", "dependencies = ["]
 
 
-@pytest.mark.parametrize("parse", [manifests.pyproject, manifests.cargo, manifests.go_mod, manifests.gradle])
-def test_odd_lines_hold_no_dependency(spark, parse):
-    rows = spark.createDataFrame([("p", k, t, 1) for k, t in enumerate(ODD)], "path string, line int, text string, name int")
-    assert parse(rows).collect() == []
-
-
-@pytest.mark.parametrize("parse", [manifests.package_json, manifests.pom])
+@pytest.mark.parametrize("parse", [manifests.pyproject, manifests.cargo, manifests.go_mod, manifests.gradle, manifests.package_json, manifests.pom])
 def test_odd_files_hold_no_dependency(spark, parse):
-    odd = [*ODD, "[]", '{"dependencies": 3}', "<dependency></dependency>"]
-    assert parse(spark.createDataFrame([("p", t) for t in odd], "path string, content string")).collect() == []
+    rows = spark.createDataFrame([("p", t, 1) for t in ODD], "path string, content string, name int")
+    assert parse(rows).collect() == []
 
 
 def test_numstat_of_odd_lines(spark):
