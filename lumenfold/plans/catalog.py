@@ -715,4 +715,4 @@ def t1_stream_errors(spark, d):
     return spark.read.parquet(f"{out}/rows")
 
 
-from lumenfold.plans import audits  # noqa: E402, F401  registers its queries
+from lumenfold.plans import audits, triage  # noqa: E402, F401  register their queries
