@@ -111,46 +111,53 @@ class BytePairs:
                 limit, b = b + 1, self.split(b)[0]
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        text = piece.decode("latin-1")
+        return self.encode_latin(piece.decode("latin-1"))
+
+    def encode_latin(self, text: str) -> list[int]:
+        """The ids of a piece whose bytes are written as Latin-1 characters.
+
+        The automaton reports the longest match at each place, one behind the other. Where one is not compatible with
+        the token before it, the longest shorter token that is takes its place, and matching goes on from its end; where
+        there is none, the token before is shortened in turn, and its end is marked as one that leads nowhere.
+        """
         whole = self.ranks.get(text)
         if whole is not None:
             return [whole]
-        known = self.fits.get
-        out = [rank for _, (rank, _) in self.automaton.iter_long(text)]
-        before = -1
-        for t in out:
-            fits = known(before << 16 ^ t)
-            if not (self.compatible(before, t) if fits is None else fits):
-                return self._backtrack(text)
-            before = t
-        return out  # the longest match everywhere
-
-    def _backtrack(self, text: str) -> list[int]:
-        n, size, known = len(text), self.size, self.fits.get
-        longest = [-1] * n
-        for end, (rank, back) in self.automaton.iter(text):
-            longest[end - back] = rank  # matches come by their end, so the longest of a place comes last
-        dead: set[int] = set()
+        known, size, prefix, find = self.fits.get, self.size, self.prefix.get, self.automaton.iter_long
         out: list[int] = []
-        pos, before, t = 0, -1, longest[0] if n else -1
-        while pos < n:
-            while t >= 0:
+        dead: set[int] = set()
+        pos, before, n = 0, -1, len(text)
+        found = find(text)
+        while True:
+            for _, (t, back) in found:
                 fits = known(before << 16 ^ t)
-                if (self.compatible(before, t) if fits is None else fits) and pos + size[t] not in dead:
+                if not (self.compatible(before, t) if fits is None else fits) or pos + back + 1 in dead:
                     break
-                t = self.shorter(t)
-            if t >= 0:
                 out.append(t)
-                pos += size[t]
-                before, t = t, longest[pos] if pos < n else -1
-            elif out:
-                dead.add(pos)
-                t = self.shorter(out.pop())
-                pos -= size[before]
-                before = out[-1] if out else -1
+                before = t
+                pos += back + 1
             else:
-                raise ValueError("a byte has no token")
-        return out
+                return out
+            while True:
+                told = prefix(t)
+                t = self.shorter(t) if told is None else told
+                if t < 0:
+                    if not out:
+                        raise ValueError("a byte has no token")
+                    dead.add(pos)
+                    t = out.pop()
+                    pos -= size[t]
+                    before = out[-1] if out else -1
+                    continue
+                fits = known(before << 16 ^ t)
+                if (self.compatible(before, t) if fits is None else fits) and pos + size[t] not in dead:
+                    out.append(t)
+                    before = t
+                    pos += size[t]
+                    break
+            if pos == n:
+                return out
+            found = find(text, pos)
 
 
 #: Below this code point a text is split by the faster standard module, with the classes written out.
@@ -179,9 +186,9 @@ def narrowed(pattern: str) -> str:
 class Encoder(dict):
     """piece -> its ids as decimal text. When full, the younger half of what it remembers stays."""
 
-    def __init__(self, pairs: BytePairs, pattern: str):
+    def __init__(self, pairs: BytePairs, pattern: str, remembered: int = REMEMBERED):
         super().__init__()
-        self.pairs, self.old = pairs, {}
+        self.pairs, self.old, self.remembered = pairs, {}, remembered
         self.any, self.narrow = regex.compile(pattern).findall, re.compile(narrowed(pattern)).findall
         self.beyond = re.compile(f"[^\x00-{chr(NARROW - 1)}]").search
 
@@ -191,9 +198,10 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> str:
         ids = self.old.get(piece)
         if ids is None:
-            ids = ",".join(map(self.pairs.decimal.__getitem__, self.pairs.encode_piece(piece.encode())))
+            latin = piece if piece.isascii() else piece.encode().decode("latin-1")
+            ids = ",".join(map(self.pairs.decimal.__getitem__, self.pairs.encode_latin(latin)))
         if len(piece) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.old = dict(self)
                 self.clear()
             self[piece] = ids
@@ -209,24 +217,28 @@ class Encoder(dict):
 _loaded: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, remembered: int = REMEMBERED) -> Encoder:
     """One for each vocabulary and worker."""
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = Encoder(BytePairs.load(path), pattern)
+    _loaded[path, pattern].remembered = remembered
     return _loaded[path, pattern]
 
 
-def encode_docs(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def encode_docs(
+    docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False, remembered: int = REMEMBERED
+) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs, and ids (array of int) on request.
 
     Each match of pattern is encoded by itself, without special tokens; then the ids are decoded again. A null text
     counts as empty and has no tokens. Rows are independent: repeated ones give the same result, also under one id or a
     null one, and a text that comes again right after itself is encoded once; an empty table gives an empty result;
-    further columns are ignored. A very long text takes time and memory in proportion to its length.
+    further columns are ignored. A very long text takes time and memory in proportion to its length. remembered bounds
+    the pieces that a worker keeps, in each of two generations (some 240 bytes each).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(vocabulary, pattern)
+        coder = encoder(vocabulary, pattern, remembered)
         last, told, decoded = None, "", ""
         for batch in batches:
             for start in range(0, batch.num_rows, 256):

@@ -36,7 +36,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode_docs(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return bpe.encode_docs(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, remembered=300_000)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
