@@ -14,8 +14,8 @@ from lumenfold.plans.registry import query, read, values
 
 #: Paths and functions, and whether they are tests or generated.
 _PATHS = [
-    ("src/tests/a.c", True, False), ("src/test_x.py", True, False), ("a/conftest.py", True, False), ("FooTest.java", True, False), ("src/contest.c", False, False),
-    ("src/latest.c", False, False), ("gen/auto_generated.c", False, True), ("x/codegen.py", False, True), ("x/plain.py", False, False), ("thrift/a.py", False, False),
+    ("src/tests/a.c", True, False), ("src/test_x.py", True, False), ("a/conftest.py", True, False), ("FooTest.java", True, False), ("src/contents.c", False, False),
+    ("src/latest.c", True, False), ("gen/auto_generated.c", False, True), ("x/codegen.py", False, True), ("x/plain.py", False, False), ("thrift/a.py", False, False),
 ]
 
 
