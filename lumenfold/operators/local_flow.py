@@ -95,27 +95,29 @@ def tainted(body: Column) -> Column:
     def once(known: Column, pairs: Column) -> Column:
         return F.aggregate(pairs, known, lambda names, p: F.when(F.array_contains(names, p["of"]) & ~F.array_contains(names, p["to"]), F.concat(names, F.array(p["to"]))).otherwise(names))
 
-    closed = F.flatten(F.transform(F.array(pairs), lambda ps: F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), seeds, lambda names, _: once(names, ps))))
-    return F.when(F.size(seeds) > 0, closed).otherwise(F.array().cast("array<string>"))
+    def closed(known: Column) -> Column:
+        every = F.transform(F.array(pairs), lambda ps: F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), known, lambda names, _: once(names, ps)))
+        return F.when(F.size(known) > 0, F.flatten(every)).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.array(seeds), closed))  # arrays of one bind what is used several times
 
 
 def flows(files: DataFrame) -> DataFrame:
     """path, line, issue, confidence, variable, snippet: sinks that take a tainted variable and that no guard covers; of one
     issue on a line the first sink's."""
-    told = functions(files).select("path", "start", "body", tainted(F.col("body")).alias("names")).filter(F.size("names") > 0)
+    told = functions(files).select("path", "start", "body", tainted(F.col("body")).alias("names"))
     guards = F.flatten(F.array(*[F.transform(matches(F.col("body"), p), lambda m: m["line"]) for p in GUARDS]))
     sinks = []
-    for n, (pattern, issue) in enumerate(SINKS):
-        mark = _mark_sink(issue, n)
-        sinks.append(F.transform(matches(F.col("body"), pattern, 1), mark))
-    rows = told.select("path", "start", "body", "names", guards.alias("guards"), F.explode_outer(F.array_sort(F.flatten(F.array(*sinks)))).alias("s")).filter("s is not null")
+    for pattern, issue in SINKS:
+        sinks.append(F.transform(matches(F.col("body"), pattern, 1), _mark_sink(issue)))
+    rows = told.select("path", "start", "body", "names", F.when(F.size("names") > 0, guards).alias("guards"), F.posexplode_outer(F.when(F.size("names") > 0, F.flatten(F.array(*sinks)))).alias("at", "s")).filter("s is not null")
     covered = F.exists("guards", lambda g: (F.col("s.line") >= g) & (F.col("s.line") < g + REACH))
     rows = rows.filter(F.array_contains("names", F.col("s.held")) & ~covered)
-    first = rows.groupBy("path", "start", "s.line", "s.issue").agg(F.min_by(F.struct(F.col("s.held").alias("variable"), F.get(F.split("body", "\n"), F.col("s.line") - 1).alias("text")), F.col("s.ord")).alias("f"))
+    first = rows.groupBy("path", "start", "s.line", "s.issue").agg(F.min_by(F.struct(F.col("s.held").alias("variable"), F.get(F.split("body", "\n"), F.col("s.line") - 1).alias("text")), F.col("at")).alias("f"))
     line = (F.col("start") + F.col("line") - 1).alias("line")
     sure = F.when(F.col("issue").isin(*GRAVE), "HIGH").otherwise("MEDIUM").alias("confidence")
     return first.select("path", line, "issue", sure, "f.variable", stripped(F.col("f.text")).alias("snippet"))
 
 
-def _mark_sink(issue: str, order: int):
-    return lambda m: F.struct(m["line"].alias("line"), F.lit(issue).alias("issue"), F.lit(order).alias("ord"), m["held"].alias("held"))
+def _mark_sink(issue: str):
+    return lambda m: F.struct(m["line"].alias("line"), F.lit(issue).alias("issue"), m["held"].alias("held"))

@@ -6,6 +6,8 @@ section that stays open over lines needs no sort and no shuffle. A null or broke
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def _dependency(name: Column, version: Column) -> Column:
     return F.struct(name.alias("name"), F.nullif(version, F.lit("")).alias("version"))
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """The array that then makes of a value that it uses several times: an array of one holds it, so it is made once."""
+    return F.flatten(F.transform(F.array(value), then))
+
+
 def _unquoted(text: Column) -> Column:
     return F.regexp_replace(text, "^[\"']|[\"']$", "")
 
@@ -83,27 +90,38 @@ def _requirement(text: Column) -> Column:
 def pyproject(files: DataFrame) -> DataFrame:
     """A project's lists of requirements (its own, optional ones, and those of its build), and the dependency tables of
     poetry, but for the language itself."""
-    every = toml(F.col("content"))
-    lists = F.filter(
-        every,
-        lambda e: ((e["section"] == "project") & (e["key"] == "dependencies")) | (e["section"] == "project.optional-dependencies") | ((e["section"] == "build-system") & (e["key"] == "requires")),
-    )
-    strings = F.flatten(F.transform(lists, lambda e: F.regexp_extract_all(e["value"], F.lit(r"""(["'])(.*?)\1"""), F.lit(2))))
-    tables = F.filter(every, lambda e: e["section"].rlike(r"^tool\.poetry\.(?:group\.[^.]+\.)?(?:dev-)?dependencies$") & (F.lower(e["key"]) != "python"))
-    told = F.transform(tables, lambda e: _dependency(e["key"], _version_of(e["value"])))
-    return _rows(files, F.concat(F.transform(strings, _requirement), told))
+
+    def found(every: Column) -> Column:
+        lists = F.filter(
+            every,
+            lambda e: ((e["section"] == "project") & (e["key"] == "dependencies")) | (e["section"] == "project.optional-dependencies") | ((e["section"] == "build-system") & (e["key"] == "requires")),
+        )
+        strings = F.flatten(F.transform(lists, lambda e: F.regexp_extract_all(e["value"], F.lit(r"""(["'])(.*?)\1"""), F.lit(2))))
+        tables = F.filter(every, lambda e: e["section"].rlike(r"^tool\.poetry\.(?:group\.[^.]+\.)?(?:dev-)?dependencies$") & (F.lower(e["key"]) != "python"))
+        return F.concat(F.transform(strings, _requirement), F.transform(tables, lambda e: _dependency(e["key"], _version_of(e["value"]))))
+
+    return _rows(files, _bound(toml(F.col("content")), found))
 
 
 def cargo(files: DataFrame) -> DataFrame:
     """Crates of the dependency tables, also of a target's, and of tables of their own (`[dependencies.name]`)."""
     kinds = "|".join(CARGO_SECTIONS)
-    every = toml(F.col("content"))
-    plainly = F.filter(every, lambda e: e["section"].rlike(rf"(^|\.)(?:{kinds})$"))
-    told = F.transform(plainly, lambda e: _dependency(F.regexp_extract(e["key"], r"^([^.]+)", 1), F.when(e["key"].rlike(r"\.") & ~e["key"].endswith(".version"), "").otherwise(_version_of(e["value"]))))
-    apart = F.filter(every, lambda e: e["section"].rlike(rf"(^|\.)(?:{kinds})\.[^.]+$"))
-    names = F.array_distinct(F.transform(apart, lambda e: F.substring_index(e["section"], ".", -1)))
-    version = lambda n: F.get(F.filter(apart, lambda e: e["section"].endswith(F.concat(F.lit("."), n)) & (e["key"] == "version")), F.lit(0))["value"]
-    return _rows(files, F.concat(told, F.transform(names, lambda n: _dependency(n, F.coalesce(_version_of(version(n)), F.lit(""))))))
+
+    def plainly(every: Column) -> Column:
+        tables = F.filter(every, lambda e: e["section"].rlike(rf"(^|\.)(?:{kinds})$"))
+        other = lambda e: e["key"].rlike(r"\.") & ~e["key"].endswith(".version")
+        return F.transform(tables, lambda e: _dependency(F.substring_index(e["key"], ".", 1), F.when(other(e), "").otherwise(_version_of(e["value"]))))
+
+    def apart(tables: Column) -> Column:
+        names = F.array_distinct(F.transform(tables, lambda e: F.substring_index(e["section"], ".", -1)))
+        version = lambda n: F.get(F.filter(tables, lambda e: e["section"].endswith(F.concat(F.lit("."), n)) & (e["key"] == "version")), F.lit(0))["value"]
+        return F.transform(names, lambda n: _dependency(n, F.coalesce(_version_of(version(n)), F.lit(""))))
+
+    def found(every: Column) -> Column:
+        own = F.filter(every, lambda e: e["section"].rlike(rf"(^|\.)(?:{kinds})\.[^.]+$"))
+        return F.concat(plainly(every), _bound(own, apart))
+
+    return _rows(files, _bound(toml(F.col("content")), found))
 
 
 def go_mod(files: DataFrame) -> DataFrame:

@@ -103,3 +103,23 @@ def test_names_resolve_to_the_first_file(spark):
     files = [("b/util.py", ""), ("a/util.py", ""), ("a/deep/core.py", ""), ("Z/Util.c", "#include <util.py>\n#include \"none.h\""), ("q.py", "import util\nfrom deep.core import x\nimport q"), ("n.py", None)]
     told = imports.edges(spark.createDataFrame(files, "path string, content string")).collect()
     assert sorted(map(tuple, told)) == [("Z/Util.c", "a/util.py"), ("q.py", "Z/Util.c"), ("q.py", "a/deep/core.py")]
+
+
+def test_local_taint_of_odd_functions(spark):
+    from lumenfold.operators import local_flow
+
+    files = [(None, None), ("a.c", None), ("b.c", ""), ("c.c", "gets(x);\nsystem(x);"), ("d.c", "void f() {\n gets(x); system(x); system(x);\n"), ("e.c", "{ gets(x);\n}\n{\r\n y = x;\r\n gets(z); a = z; b = a;\r\n system(b)\n}")]
+    told = local_flow.flows(spark.createDataFrame(files, "path string, content string")).collect()
+    assert [(r.path, r.line, r.issue, r.variable, r.snippet) for r in told] == [("e.c", 6, "os-command-injection", "b", "system(b)")]
+
+
+def test_text_helpers_on_odd_texts(spark):
+    from lumenfold.operators import triage
+
+    rows = spark.createDataFrame([(None,), ("",), ("/*",), ("a/**/b//",), ("((",), ("x" * 50_000,)], "t string")
+    from pyspark.sql import functions as F
+
+    told = rows.select(triage.masked(F.col("t")).alias("m"), triage.arguments(F.substring("t", 1, 100)).alias("a"), triage.constant(F.col("t")).alias("c"), triage.repository(F.col("t"))["owner"].alias("r")).collect()
+    assert [r.m for r in told][:4] == [None, "", "/*", "a    b  "] or told[0].m == ""
+    assert told[1].a == [] and told[4].a == ["(("] and all(r.c is None for r in told)
+    assert triage.escaped(F.lit("<a b='&'>")) is not None
