@@ -152,7 +152,8 @@ def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 
 
 def bridges(docs: DataFrame, members: DataFrame, where: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """(a, b): links between ids of different labels that share a key, one for each two labels and block at least.
+    """(a, b): links that join the labels of ids that share a key as all links between them do; fewer in each two blocks
+    than they have members.
 
     members: key, id, label. The members of a key are dealt into hashed blocks, those of its largest label apart from
     the rest. Each two blocks meet in a task with their full sets, but for two of the largest label; so every pair of
@@ -193,9 +194,23 @@ def bridges(docs: DataFrame, members: DataFrame, where: DataFrame, percent: int,
         p, q = np.nonzero(near)
         if not len(p):
             return None
-        first = np.unique(labels[p] * (labels.max() + 1) + labels[q], return_index=True)[1]
+        # of the links between labels only as many as join the same labels: a star for each component, no pairs
+        count, rep = labels.max() + 1, np.unique(labels, return_index=True)[1]
+        beside = np.zeros((count, count), bool)
+        beside[labels[p], labels[q]] = True
+        beside |= beside.T
+        root, left = np.arange(count), np.ones(count, bool)
+        for k in range(count):
+            if left[k]:
+                wave = np.array([k])
+                left[k] = False
+                while len(wave):
+                    root[wave] = k
+                    wave = np.flatnonzero(beside[wave].any(axis=0) & left)
+                    left[wave] = False
+        far = np.flatnonzero(root != np.arange(count))
         ids = part.column("id").combine_chunks()
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(p[first])), ids.take(pa.array(q[first]))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(rep[root[far]])), ids.take(pa.array(rep[far]))], names=["a", "b"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches sorted by cell; a cell that goes on into the next batch waits for it (2 x BLOCK rows or so)."""
