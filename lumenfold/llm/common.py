@@ -7,6 +7,7 @@ import tempfile
 import threading
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,18 @@ def discard(*tables: DataFrame) -> None:
         _written[:] = [x for x in _written if x[1] != path]
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), file and place: the hashed name of the file that a row stands in (without what a writer
+    draws at random), and where in it. Rows that come from no file are numbered and written."""
+    row = F.struct(*docs.columns).alias("row")
+    try:
+        where = docs.metadataColumn("_metadata")
+        name = F.regexp_replace(where["file_name"], "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "")
+        return docs.select(row, F.xxhash64(name).alias("file"), where["row_index"].alias("place"))
+    except AnalysisException:
+        return stash(docs.select(row, F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place")))
+
+
 def text_keys(text: Column) -> tuple[Column, Column]:
     """k1, k2: 128 bits of a text's hash, null as empty, by which a second scan finds the same texts again."""
     text = F.coalesce(text, F.lit(""))

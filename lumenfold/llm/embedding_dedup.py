@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -195,51 +196,19 @@ def joined(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def embedding_dedup(vectors: DataFrame, cosine: float = 0.93, planned: tuple[int, int, int] | None = None) -> DataFrame:
-    """vec_id, n_links, component_id, kept, index_recall for each row of (vec_id, embedding, label).
-
-    Rows with equal, non-null labels are linked if their cosine, in double precision, is at least `cosine`. Vectors
-    that are null, zero, or hold null or non-finite components, and rows with a null label, link with nothing; so do
-    vectors of different lengths. n_links counts the other rows linked directly; component_id is the smallest id
-    reachable by links.
+def links_of(
+    reps: DataFrame, dim: int, flat: type, label_kind: str, cosine: float, planned: tuple[int, int, int] | None
+) -> tuple[DataFrame, float | None]:
+    """(row, links, least) of reps (row, vector, label, copies), vectors of `dim` components, and the recall planned for.
 
-    1. Rows with one label and the same vector form a class; one of them goes on and counts for all, so that a vector
-       that is repeated without end costs one row.
-    2. Rotations are learned on a bounded sample; every class is coded. The code is cut into substrings, one for each
-       table; classes of a label meet in a table's bucket if they agree in its substring, or, with radius 1, if one of
-       them differs in one bit and visits. How many tables that takes is measured (see plan); index_recall is the share
-       of links planted at the threshold that they find, the same on each row, and is logged.
-    3. In a bucket the original vectors are compared, in blocks; a pair counts in the first table that brings it
-       together. Pairs never leave the block: each row gets a number of links and the smallest row that it reaches over
-       the block's links. Buckets of more than BLOCK rows are dealt out as pairs of hashed blocks.
-
-    Rows are told apart by a number of their own: repeated rows and rows with one id and other vectors count each by
-    itself; a null id links like any other but is never a component's id, if others are, and never kept. An empty table
-    gives an empty result, further columns are ignored. planned (bits, radius, tables) overrides the plan.
+    With dim 0 lengths are mixed and not coded: those of one label and length all meet.
     """
-    id_kind, label_kind = dict(vectors.dtypes)["vec_id"], dict(vectors.dtypes)["label"]
-    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
-    flat = np.float32 if kind == "float" else np.float64
     size = np.dtype(flat).itemsize
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = pa.array(usable(batch.column(2), flat), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held], names=["vec_id", "label", "vector"])
-
-    rows = vectors.select("vec_id", "label", "embedding").mapInArrow(read, f"vec_id {id_kind}, label {label_kind}, vector binary")
-    rows = rows.withColumn("vector", F.when(F.col("label").isNotNull(), F.col("vector")))
-    rows = stash(rows.select("*", F.monotonically_increasing_id().alias("row"), F.xxhash64("vector").alias("v1"), F.xxhash64(F.lit(1), "vector").alias("v2")))
-    of = ["label", "v1", "v2"]
-    classes = rows.filter("vector is not null").groupBy(*of)
-    classes = stash(classes.agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
-    reps = stash(rows.select("row", "vector").join(classes.select("row", "label", "copies"), "row"))
-    counts = reps.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels"), F.max(F.octet_length("vector")).alias("d")).first()
-    dim = (counts["d"] or size) // size
-    picked = reps.filter(F.octet_length("vector") == dim * size).orderBy(F.xxhash64("row"), "row").limit(SAMPLE)
-    sample = np.frombuffer(b"".join(r[0] for r in picked.select("vector").collect()), flat).reshape(-1, dim)
+    counts = reps.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
+    picked = reps.orderBy(F.xxhash64("row"), "row").limit(SAMPLE if dim else 0)
+    sample = np.frombuffer(b"".join(r[0] for r in picked.select("vector").collect()), flat).reshape(-1, max(1, dim))
     coder = Coder(_directions(sample) if len(sample) else np.empty((0, dim)), dim)
-    bits, radius, tables, recall = (*planned, None) if planned else plan(coder, counts["n"] / max(1, counts["labels"]), cosine)
+    bits, radius, tables, recall = (0, 0, 1, None) if not dim else (*planned, None) if planned else plan(coder, counts["n"] / max(1, counts["labels"]), cosine)
     if planned and bits:
         coder.grow(-(-tables // (dim // bits)))
     _log.info("%s vectors: %s tables of %s bits, radius %s, recall of planted links %s", counts["n"], tables, bits, radius, recall)
@@ -255,7 +224,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.93, planned: tuple[int
                 if n == dim * size:
                     x = np.frombuffer(b"".join(raw[k] for k in own.tolist()), flat).reshape(len(own), -1)
                     keys[own] = coder.keys(_directions(x), bits, tables)
-                else:  # vectors of another length than the sample's have one bucket for each length
+                else:  # without a code: one bucket for each length
                     keys[own] = -n
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))],
@@ -337,7 +306,61 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.93, planned: tuple[int
 
     dealt = cells.repartition(*cell).sortWithinPartitions(*cell)
     told = stash(dealt.mapInArrow(met, "row long, links long, least long"))
-    discard(sizes, codes, reps)
+    discard(sizes, codes)
+    return told, recall
+
+
+def embedding_dedup(vectors: DataFrame, cosine: float = 0.93, planned: tuple[int, int, int] | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept, index_recall for each row of (vec_id, embedding, label).
+
+    Rows with equal, non-null labels are linked if their cosine, in double precision, is at least `cosine`. Vectors
+    that are null, zero, or hold null or non-finite components, and rows with a null label, link with nothing; so do
+    vectors of different lengths. n_links counts the other rows linked directly; component_id is the smallest id
+    reachable by links.
+
+    1. Rows with one label and the same vector form a class; one of them goes on and counts for all, so that a vector
+       that is repeated without end costs one row.
+    2. For each length of vectors with a hundredth of the rows, rotations are learned on a bounded sample (rarer lengths
+       have one bucket each); every class is coded. The code is cut into substrings, one for each
+       table; classes of a label meet in a table's bucket if they agree in its substring, or, with radius 1, if one of
+       them differs in one bit and visits. How many tables that takes is measured (see plan); index_recall is the share
+       of links planted at the threshold that they find, the same on each row, and is logged.
+    3. In a bucket the original vectors are compared, in blocks; a pair counts in the first table that brings it
+       together. Pairs never leave the block: each row gets a number of links and the smallest row that it reaches over
+       the block's links. Buckets of more than BLOCK rows are dealt out as pairs of hashed blocks.
+
+    Rows are told apart by a number of their own: repeated rows and rows with one id and other vectors count each by
+    itself; a null id links like any other but is never a component's id, if others are, and never kept. An empty table
+    gives an empty result, further columns are ignored. planned (bits, radius, tables) overrides the plan.
+    """
+    id_kind, label_kind = dict(vectors.dtypes)["vec_id"], dict(vectors.dtypes)["label"]
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    flat = np.float32 if kind == "float" else np.float64
+    size = np.dtype(flat).itemsize
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = pa.array(usable(batch.column(2), flat), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held], names=["vec_id", "label", "vector"])
+
+    rows = vectors.select("vec_id", "label", "embedding").mapInArrow(read, f"vec_id {id_kind}, label {label_kind}, vector binary")
+    rows = rows.withColumn("vector", F.when(F.col("label").isNotNull(), F.col("vector")))
+    rows = stash(rows.select("*", F.monotonically_increasing_id().alias("row"), F.xxhash64("vector").alias("v1"), F.xxhash64(F.lit(1), "vector").alias("v2")))
+    of = ["label", "v1", "v2"]
+    classes = rows.filter("vector is not null").groupBy(*of)
+    classes = stash(classes.agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
+    reps = stash(rows.select("row", "vector").join(classes.select("row", "label", "copies"), "row"))
+    # lengths that hold a hundredth of the rows get a plan of their own, 100 at most; the rest meet by their length
+    width = (F.octet_length("vector") / size).cast("int")
+    every = stash(reps.groupBy(width.alias("dim")).count())
+    n = every.agg(F.sum("count")).first()[0] or 0
+    dims = [r.dim for r in every.filter(F.col("count") * 100 >= n).orderBy("dim").collect()]
+    parts = [links_of(reps.filter(width == d), d, flat, label_kind, cosine, planned) for d in dims]
+    if every.count() > len(dims):
+        parts.append(links_of(reps.filter(~width.isin(dims)), 0, flat, label_kind, cosine, None))
+    told = reduce(DataFrame.union, [t for t, _ in parts]) if parts else reps.sparkSession.createDataFrame([], "row long, links long, least long")
+    recall = min((r for _, r in parts if r is not None), default=None)
+    discard(every, reps)
     n_links = told.groupBy("row").agg(F.sum("links").alias("links"))
     labels = components(told.select(F.col("row").alias("a"), F.col("least").alias("b")).distinct())
     linked = classes.select("row", F.col("least").alias("first")).join(labels.withColumnRenamed("id", "row"), "row")
@@ -345,7 +368,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.93, planned: tuple[int
     linked = linked.select("row", "component").join(lowest, "component").select("row", "lowest")
     told_of = classes.join(n_links, "row", "left").join(linked, "row", "left")
     told_of = stash(told_of.select(*of, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("lowest", "least").alias("component")))
-    discard(told, labels, classes)
+    discard(labels, classes, *(t for t, _ in parts))
     component = F.coalesce("component", "vec_id")
     return rows.select("vec_id", *of).join(told_of, of, "left").select(
         "vec_id",

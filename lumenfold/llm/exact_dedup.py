@@ -66,7 +66,12 @@ def exact_dedup(
     )
     discard(narrow, same_size, same_head)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return hashed.join(groups, "text_sha256", "left").select(
+    if digest_all:
+        told = hashed.join(groups, "text_sha256", "left")
+    else:  # rows without a digest are told apart already; as null keys of the join they would all meet in one task
+        alone = hashed.filter("not survives").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(None).cast("long")})
+        told = hashed.filter("survives").join(groups, "text_sha256", "left").unionByName(alone)
+    return told.select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ BINS, ROWS = 128, 4
 BROADCAST_KEYS = 500_000
 #: Members of a bucket that meet in one task, twice.
 BLOCK = 128
+#: Turns of random blocks before all labels of a key meet, at most, and as long as one link comes of so many members.
+MOST_TURNS, TURN_GAIN = 8, 50
 #: Pairs of one pivot that meet its set in one task; the set of a pivot with more is sent out several times.
 HUB = 64
 _FRACTION = np.uint64((1 << 48) - 1)
@@ -151,36 +154,41 @@ def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def bridges(docs: DataFrame, members: DataFrame, where: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """(a, b): links that join the labels of ids that share a key as all links between them do; fewer in each two blocks
-    than they have members.
+def bridges(members: DataFrame, sets: DataFrame, percent: int, turn: int | None = None) -> DataFrame:
+    """(a, b): labels to join, fewer for each cell than it has labels.
 
-    members: key, id, label. The members of a key are dealt into hashed blocks, those of its largest label apart from
-    the rest. Each two blocks meet in a task with their full sets, but for two of the largest label; so every pair of
-    different labels is compared, but none is ever a row, and no task holds a whole hot key.
+    members: key, id, label; sets: id, items. The members of a key are dealt into hashed blocks. With a turn, each block
+    meets itself in a task, dealt anew for each turn. Without, those of the key's largest label are dealt apart from the
+    rest, and each two blocks meet but for two of the largest label; so every pair of different labels is compared, but
+    none is ever a row, and no task holds a whole hot key.
     """
-    sets = sets_of(docs, members.select("id").distinct().join(where, "id"), shingle)
-    counts = members.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
-    counts = counts.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("m"), F.sum("c").alias("c"))
-    shares = ((F.col("c") - F.col("m")) / BLOCK, F.col("m") / BLOCK)
-    blocks = stash(counts.select("key", "main", *(F.ceil(x).cast("int").alias(n) for x, n in zip(shares, ("few", "many")))))
     cell = ["key", "i", "j"]
-    dealt_to = F.when(
-        F.col("label") == F.col("main"), F.col("few") + F.pmod(F.xxhash64("id"), F.col("many")).cast("int")
-    ).otherwise(F.pmod(F.xxhash64("id"), F.col("few")).cast("int"))
-    last = F.col("few") - 1 + F.when(F.col("label") == F.col("main"), 0).otherwise(F.col("many"))
-    rows = (
-        members.join(blocks, "key")
-        .withColumn("mine", dealt_to)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "label", "mine")
-    )
+    if turn is not None:
+        blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        mine = F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("blocks")).cast("int")
+        rows = members.join(stash(blocks), "key").withColumn("mine", mine)
+        rows = rows.select("key", F.col("mine").alias("i"), F.col("mine").alias("j"), "id", "label", "mine")
+    else:
+        counts = members.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+        counts = counts.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("m"), F.sum("c").alias("c"))
+        shares = ((F.col("c") - F.col("m")) / BLOCK, F.col("m") / BLOCK)
+        blocks = stash(counts.select("key", "main", *(F.ceil(x).cast("int").alias(n) for x, n in zip(shares, ("few", "many")))))
+        dealt_to = F.when(
+            F.col("label") == F.col("main"), F.col("few") + F.pmod(F.xxhash64("id"), F.col("many")).cast("int")
+        ).otherwise(F.pmod(F.xxhash64("id"), F.col("few")).cast("int"))
+        last = F.col("few") - 1 + F.when(F.col("label") == F.col("main"), 0).otherwise(F.col("many"))
+        rows = (
+            members.join(blocks, "key")
+            .withColumn("mine", dealt_to)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+            .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "label", "mine")
+        )
     rows = stash(rows)
     full = rows.join(sets, "id").select(*cell, "id", "label", "mine", "items")
 
     def linked_in(part: pa.Table) -> pa.RecordBatch | None:
         n = part.num_rows
-        labels = np.unique(np.array(part.column("label").to_pylist()), return_inverse=True)[1]
+        names, labels = np.unique(part.column("label").to_numpy(), return_inverse=True)
         if n < 2 or labels.max() == 0:
             return None
         sets = [np.frombuffer(v, np.uint64) for v in part.column("items").to_pylist()]
@@ -195,7 +203,7 @@ def bridges(docs: DataFrame, members: DataFrame, where: DataFrame, percent: int,
         if not len(p):
             return None
         # of the links between labels only as many as join the same labels: a star for each component, no pairs
-        count, rep = labels.max() + 1, np.unique(labels, return_index=True)[1]
+        count = len(names)
         beside = np.zeros((count, count), bool)
         beside[labels[p], labels[q]] = True
         beside |= beside.T
@@ -209,8 +217,7 @@ def bridges(docs: DataFrame, members: DataFrame, where: DataFrame, percent: int,
                     wave = np.flatnonzero(beside[wave].any(axis=0) & left)
                     left[wave] = False
         far = np.flatnonzero(root != np.arange(count))
-        ids = part.column("id").combine_chunks()
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(rep[root[far]])), ids.take(pa.array(rep[far]))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(names[root[far]]), pa.array(names[far])], names=["a", "b"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches sorted by cell; a cell that goes on into the next batch waits for it (2 x BLOCK rows or so)."""
@@ -230,10 +237,58 @@ def bridges(docs: DataFrame, members: DataFrame, where: DataFrame, percent: int,
 
     dealt = full.repartition(*cell).sortWithinPartitions(*cell)
     out = stash(dealt.mapInArrow(met, "a long, b long").distinct(), 500)
-    discard(sets, blocks, rows)
+    discard(rows)
     return out
 
 
+def still_open(members: DataFrame) -> DataFrame:
+    """Those of members (key, id, label) whose key has several labels."""
+    told = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    keys = stash(told.filter("low < high").select("key"))
+    out = stash(members.join(keys, "key"))
+    discard(keys)
+    return out
+
+
+def bridged(docs: DataFrame, members: DataFrame, where: DataFrame, percent: int, shingle: int) -> list[DataFrame]:
+    """Tables of (a, b) that join the labels of members (key, id, label) as all links within their keys do.
+
+    While a key has more than BLOCK members, its members meet in blocks first, dealt anew in each turn; what is joined
+    gets one label, and keys with one label left are done. So a group whose members are often linked is one label after
+    few turns, each of which takes every member once and makes fewer links than members. When a turn joins little, all
+    remaining labels of a key meet exactly, the largest one's members only those of others.
+    """
+    found: list[DataFrame] = []
+    sets = sets_of(docs, members.select("id").distinct().join(where, "id"), shingle)
+    turn = 0
+    while True:
+        big = members.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK)
+        some = stash(members.join(big.select("key"), "key", "left_semi"))
+        n = some.count()
+        if not n:
+            discard(some)
+            break
+        new = bridges(some, sets, percent, turn)
+        made = new.count()
+        discard(some)
+        found.append(new)
+        if made:
+            up = components(new)
+            now = members.join(up.select(F.col("id").alias("label"), "component"), "label", "left")
+            now = stash(now.select("key", "id", F.coalesce("component", "label").alias("label")))
+            left = still_open(now)
+            discard(members, up, now)
+            members = left
+        turn += 1
+        if made < n / TURN_GAIN or turn == MOST_TURNS:
+            break
+    found.append(bridges(members, sets, percent))
+    discard(members, sets)
+    return found
+
+
+
+
 def near_dedup(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
@@ -245,7 +300,7 @@ def near_dedup(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFram
     2. Classes that share a band are candidates. Buckets are never expanded into pairs: first each member meets the
        smallest id of the bucket it shares most bands with, and these pairs are confirmed on full sets.
     3. Buckets that still hold several components are compared whole, in blocks, for links between components, again
-       on full sets. So every candidate pair is confirmed or lies within a component already.
+       on full sets; large ones in random blocks first, while that joins much (see bridged). So every candidate pair is confirmed or lies within a component already.
 
     Rows are told apart by a number of their own and texts found again by their hash, so each row is a document, also
     where ids repeat or are null: links go through such rows too, and component_id is the smallest id of the component
@@ -281,13 +336,11 @@ def near_dedup(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFram
         )
     )
     discard(members, labels, first)
-    mixed_keys = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    mixed_keys = stash(mixed_keys.select("key"))
-    open_keys = stash(now.join(mixed_keys, "key"))
-    discard(now, mixed_keys)
-    more = bridges(docs, open_keys, where, percent, shingle)
-    labels = components(links.union(more))
-    discard(open_keys, links, more, reps)
+    open_keys = still_open(now)
+    discard(now)
+    more = bridged(docs, open_keys, where, percent, shingle)
+    labels = components(reduce(DataFrame.union, more, links))
+    discard(links, *more, reps)
     linked = classes.join(labels.withColumnRenamed("id", "rep"), "rep")
     lowest = stash(linked.groupBy("component").agg(F.min("least").alias("c")))
     rep_of = classes.join(linked.select("rep", "component"), "rep", "left").join(lowest, "component", "left")

@@ -8,6 +8,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.common import stash
+
 #: Shards to a rack and racks to a region of the default tree.
 FANOUT = (2, 2)
 #: Rows of a hashed cell of a shard, on the mean; each cell is numbered by itself.
@@ -73,34 +75,30 @@ def shard_rows(
     (shard, cell) is numbered on its own and shifted by the rows of the cells before it, so that no shard is ever
     in one task. Cells grow in number with the rows, so that a cell does not grow.
 
-    A null text has size 1 and checksum 0, a very long one is hashed where it is read. All rows with a null id go to
-    one shard and cell; repeated ids share a shard and get slots of their own, in order of checksum and size, so that
-    only rows equal in all three may change places. An empty table gives an empty result; further columns are ignored.
+    A null text has size 1 and checksum 0, a very long one is hashed where it is read. All rows with one id, or a null
+    one, go to one shard, as the law asks, but their cell follows from id, checksum and size, so that many of them are
+    not in one task; slots go by these three within a cell, so that only rows equal in all may change places. An empty table gives an empty result; further columns are ignored.
     """
     if cells is None:
         cells = max(64, math.ceil(docs.count() / shards / CELL))
     from pyspark.sql import Window
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    placed = docs.select(
+    sized = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-    ).select(
-        "*",
-        place(F.col("doc_id"), default_tree(shards)).alias("shard"),
-        place(F.col("doc_id"), default_tree(shards + 1, shards)).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit("cell"), "doc_id"), F.lit(cells)).cast("int").alias("cell"),
     )
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    counts = (
-        ids.select(
+    seed = F.xxhash64(F.lit("cell"), "doc_id", "text_crc32", "size")
+    placed = stash(
+        sized.select(
+            "*",
             place(F.col("doc_id"), default_tree(shards)).alias("shard"),
-            F.pmod(F.xxhash64(F.lit("cell"), "doc_id"), F.lit(cells)).cast("int").alias("cell"),
+            place(F.col("doc_id"), default_tree(shards + 1, shards)).alias("grown_shard"),
+            F.pmod(seed, F.lit(cells)).cast("int").alias("cell"),
         )
-        .groupBy("shard", "cell")
-        .count()
     )
+    counts = placed.groupBy("shard", "cell").count()
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     own = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size")

@@ -7,6 +7,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.llm import asof_join, html_text, prefix_trie
 
@@ -259,3 +260,83 @@ def test_extract_finds_the_articles_of_the_given_pages(spark):
 def test_an_open_block_takes_the_nearest_label_of_its_container_first():
     html = f"<div><p>{LONG}</p><p>One.</p></div><div class=ad>{LONG}</div><div><p>Two.</p></div><div class=ad>{LONG}</div>"
     assert main_text(html) == f"{LONG.strip()}\nOne."
+
+
+# --- growth and hot rows of earlier operators ---------------------------------------------------------------------
+
+
+def test_links_between_near_copies_stay_below_their_members(spark, monkeypatch, tmp_path):
+    from lumenfold.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    seen = []
+    plain = near_dedup.bridges
+
+    def watched(members, sets, percent, turn=None):
+        out = plain(members, sets, percent, turn)
+        seen.append((members.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "bridges", watched)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    for n in (150, 600):
+        seen.clear()
+        rows = []
+        for i in range(n):
+            words = base[:]
+            for k in rng.sample(range(200), 4):
+                words[k] = f"x{i}_{k}"
+            rows.append((i, " ".join(words)))
+        told = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert seen and all(links <= members for members, links in seen)
+        if n == 150:
+            sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+            label = {i: i for i in sets}
+            for i in sets:
+                for j in range(i):
+                    if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                        a, b = label[i], label[j]
+                        if a != b:
+                            label = {x: min(a, b) if v in (a, b) else v for x, v in label.items()}
+            assert told == label
+
+
+def test_vectors_of_other_lengths_leave_the_index_on(spark):
+    import numpy as np
+
+    from lumenfold.llm import embedding_dedup
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1500, 24))
+    x[750:] = x[:750] + 0.1 * rng.standard_normal((750, 24))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5000 + k, [1.0] * (40 + k % 2), 0) for k in range(4)]
+    told = {r.vec_id: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    unit = x.astype(np.float32).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    assert sum(told[i].n_links for i in range(1500)) >= 0.98 * (near.sum() - 1500)
+    assert [told[5000 + k].n_links for k in range(4)] == [1, 1, 1, 1]
+    assert told[5002].component_id == 5000 and told[5003].component_id == 5001
+
+
+def test_a_source_of_rows_without_ids_comes_near_its_target(spark):
+    from lumenfold.llm import mixing
+
+    rows = [(None, f"a b c {i}", "s0") for i in range(1000)] + [(7, "a b c d", "s1")] * 1000 + [(i, "a b c d", "s2") for i in range(10, 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    told = mixing.rates(docs).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) < 0.1 * r.target for r in told), told
+    assert mixing.mix(docs).count() == mixing.mix(docs).count()
+
+
+def test_rows_without_ids_are_numbered_in_many_cells(spark):
+    from lumenfold.llm import sharding
+
+    rows = [(None, f"text {i}") for i in range(3000)] + [(i, "same") for i in range(100)]
+    told = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    slots = defaultdict(list)
+    for r in told:
+        slots[r.shard].append(r.slot)
+    assert len(told) == 3100 and len({r.shard for r in told if r.doc_id is None}) == 1
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
