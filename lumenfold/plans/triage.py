@@ -214,9 +214,9 @@ def f20_constants(spark, d):
     return read(spark, d, "part").select("p_partkey", triage.constant(told).alias("value"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(left(html, 500), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
 def f26_escaped(spark, d):
-    return read(spark, d, "pages").select("page_id", triage.escaped(F.expr("left(html, 500)")).alias("escaped"))
+    return read(spark, d, "pages").select("page_id", triage.escaped(F.col("html")).alias("escaped"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 THEN 'own-' || p_partkey END AS owner, CASE WHEN p_partkey % 5 < 4 THEN 'n.' || p_size END AS name FROM part")
