@@ -63,12 +63,16 @@ def matched(looks: DataFrame, groups: DataFrame, within: int, target: int = TARG
     read several times, so they should be written tables.
 
     Keys are dealt into shards by hash. A key with over `target` rows has a shard of its own, cut into time chunks: its
-    times' quantiles give ranges of equal depth, and chunks of equal width lie within these. The halo of a chunk is the
+    rows are counted by the hour, quantiles of the hours give ranges of equal depth, and chunks of equal width lie
+    within these. The halo of a chunk is the
     last group before it, one row. A chunk with far more looks than `target` (many at one time) is dealt into pieces,
     each with the chunk's groups. So a cell holds some `target` rows however hot a key is; what follows the input's size
     is a row for each chunk of a heavy key, in a window of that key.
     """
-    counts = looks.select("key").union(groups.select("key")).groupBy("key").agg(F.count("*").alias("n"))
+    hour = F.floor(F.col("t") / HOUR).alias("hour")
+    slots = looks.select("key", hour).union(groups.select("key", hour)).groupBy("key", "hour").agg(F.count("*").alias("n"))
+    slots = stash(slots)
+    counts = slots.groupBy("key").agg(F.sum("n").alias("n"))
     light = counts.agg(F.coalesce(F.sum(F.when(F.col("n") <= target, F.col("n"))), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, light // target)
     heavy = stash(counts.filter(F.col("n") > target).select("key", F.ceil(F.col("n") / target).cast("int").alias("chunks")))
@@ -78,10 +82,10 @@ def matched(looks: DataFrame, groups: DataFrame, within: int, target: int = TARG
     left, right = looks.select(*plain, "id", "key", "t"), groups.select(*plain, "key", "t", "best", "n_tied")
     if n_heavy:
         few = F.broadcast if n_heavy <= BROADCAST_KEYS else lambda df: df
-        times = looks.select("key", "t").union(groups.select("key", "t")).join(few(heavy), "key")
-        cuts = [k / RANGES for k in range(RANGES + 1)]
-        plan = stash(times.groupBy("key", "chunks").agg(F.percentile_approx("t", cuts, 1000).alias("q")))
-        discard(heavy)
+        cuts = F.array(*(F.lit(k / RANGES) for k in range(RANGES + 1)))
+        q = F.percentile(F.col("hour") * HOUR, cuts, F.col("n")).cast("array<bigint>").alias("q")
+        plan = stash(slots.join(few(heavy), "key").groupBy("key", "chunks").agg(q))
+        discard(slots, heavy)
 
         def chunked(df: DataFrame) -> DataFrame:
             """own, shard, chunk before the columns: of a heavy key, its place among the quantiles as a chunk."""
