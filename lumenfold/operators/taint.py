@@ -168,3 +168,24 @@ def summaries(functions: DataFrame, calls: DataFrame) -> DataFrame:
         return met.join(passed, ["unit", "__callee", "__given"]).select("unit", "func", "position", "issue")
 
     return flow.fixpoint(direct, step)
+
+
+# Words of a size that are no names (fixed values).
+KEYWORDS = ["sizeof", "static_cast", "size_t", "uint64_t", "uint32_t", "uint16_t", "uint8_t", "int", "long", "unsigned", "reinterpret_cast"]
+
+
+def identifiers(text: Column, skipped: list[str] = KEYWORDS) -> Column:
+    """The names in a text, in order, repeated ones too, without the skipped words."""
+    return F.filter(F.regexp_extract_all(text, F.lit(r"(?<!\w)([a-zA-Z_]\w*)"), F.lit(1)), lambda n: ~n.isin(*skipped))
+
+
+def first_tainted_arguments(sinks: DataFrame, names: DataFrame) -> DataFrame:
+    """unit, issue, line, place, var, rank: for each issue and line of a unit the first sink with a tainted name, and its first name.
+
+    sinks: unit, issue, line, place (their order), args (a text); names: unit, var, rank (their order). The words of
+    arguments, each once, meet the names by equality, so no pattern is made of a name; ties of rank go to the smaller
+    name. Null arguments, names and units meet nothing.
+    """
+    words = sinks.select("unit", "issue", "line", "place", F.explode(F.array_distinct(F.regexp_extract_all("args", F.lit(r"(\w+)"), F.lit(1)))).alias("var"))
+    met = words.join(names.groupBy("unit", "var").agg(F.min("rank").alias("rank")), ["unit", "var"])
+    return met.groupBy("unit", "issue", "line").agg(F.min(F.struct("place", "rank", "var")).alias("f")).select("unit", "issue", "line", "f.*")
