@@ -720,4 +720,4 @@ def t1_stream_errors(spark, d):
     return spark.read.parquet(f"{out}/rows")
 
 
-from lumenfold.plans import audits, concurrency, cross_file, custom_rules, taint, triage  # noqa: E402, F401  register their queries
+from lumenfold.plans import audits, concurrency, cross_file, custom_rules, proximity, taint, triage  # noqa: E402, F401  register their queries
