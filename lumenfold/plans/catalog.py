@@ -495,9 +495,10 @@ def j24_anti_merge(spark, d):
     return f.first_wins(rows, ["path", "line", "issue"], ["stage_ord"])
 
 
-@query(None)
+@query(f"""{_SQL_FOUND} SELECT path, line, issue, json_object('ruleId', issue, 'level', CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' WHEN 'LOW' THEN 'note' ELSE 'warning' END,
+      'locations', json_array(json_object('physicalLocation', json_object('artifactLocation', json_object('uri', path::VARCHAR), 'region', json_object('startLine', greatest(line, 1), 'snippet', json_object('text', left(snippet, 300)))))))::VARCHAR AS value FROM found""")
 def k3_sarif(spark, d):
-    """JSON text, which SQL formats differently; tested by parsing it."""
+    """JSON text; SQL writes it alike, without spaces and with fields in the same order."""
     return reports.sarif_results(_found(spark, d))
 
 
