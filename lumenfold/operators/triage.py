@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.scalars import confidence
+from lumenfold.operators.joins import joined
 from lumenfold.operators.scan import stripped
 
 # What names of test files, test functions and generated files look like (fixed values).
@@ -129,7 +130,7 @@ FIXES = {
 def fixes(found: DataFrame, lines: DataFrame, kind: Column, table: dict = FIXES) -> DataFrame:
     """path, line, issue, original, fixed, confidence of findings (path, line, issue) whose line (path, line, text) a fix
     of its language and issue changes: the first pattern that fits replaces all that it fits on the line."""
-    told = found.select("path", "line", "issue").distinct().join(lines.select("path", "line", "text"), ["path", "line"])
+    told = joined(found.select("path", "line", "issue").distinct(), lines.select("path", "line", "text"), ["path", "line"])
     done = F.lit(None).cast("struct<fixed:string,confidence:string>")
     for language, issues in table.items():
         for issue, patterns in issues.items():
@@ -145,7 +146,7 @@ def fixes(found: DataFrame, lines: DataFrame, kind: Column, table: dict = FIXES)
 def applied(lines: DataFrame, changes: DataFrame) -> DataFrame:
     """The lines (path, line, text) with fixed ones in place; of several fixes of a line the first by issue."""
     first = changes.groupBy("path", "line").agg(F.min(F.struct("issue", "fixed")).alias("f"))
-    return lines.join(first, ["path", "line"], "left").select("path", "line", F.coalesce("f.fixed", "text").alias("text"))
+    return joined(lines, first, ["path", "line"], "left").select("path", "line", F.coalesce("f.fixed", "text").alias("text"))
 
 
 def patches(changes: DataFrame) -> DataFrame:

@@ -35,3 +35,14 @@ def values(rows: list[tuple]) -> str:
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+#: Rows of a table that one task gets, where each becomes a file or several rows.
+ROWS = 50_000
+
+
+def spread(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table dealt by its key over tasks of about ROWS rows, and over all cores at least. A scan gives a task all that a row
+    group holds, up to a whole table; the count is read from the file's footer."""
+    rows = read(spark, folder, name)
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS)), key)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import intervals
 from lumenfold.operators import local_flow, supply, triage
-from lumenfold.plans.registry import query, read, values
+from lumenfold.plans.registry import query, read, spread, values
 
 #: Paths and functions, and whether they are tests or generated.
 _PATHS = [
@@ -84,7 +84,7 @@ _FIXABLE = [
 def _fixable(spark: SparkSession, d: str) -> DataFrame:
     """path, line, text, issue: a file for each part and ending."""
     cases = [F.struct(F.lit(e).alias("e"), F.replace(F.lit(t), F.lit("{k}"), F.col("p_partkey").cast("string")).alias("text"), F.lit(i).alias("issue")) for e, t, i, _, _ in _FIXABLE]
-    rows = read(spark, d, "part").select("p_partkey", F.posexplode(F.array(*cases)).alias("line", "c"))
+    rows = spread(spark, d, "part", "p_partkey").select("p_partkey", F.posexplode(F.array(*cases)).alias("line", "c"))
     return rows.select(F.concat(F.lit("p"), "p_partkey", F.lit("."), "c.e").alias("path"), "line", "c.text", "c.issue")
 
 
