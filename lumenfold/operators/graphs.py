@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.operators.joins import joined
+
 
 def checkpoints(spark: SparkSession) -> str:
     """The shared folder of checkpoints; where the session names none, one of our own if all run on this machine."""
@@ -32,8 +34,8 @@ def cone(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     last = seen
     for depth in itertools.count(1):
-        step = last.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        last = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        step = joined(last.withColumnRenamed("node", "src"), edges, ["src"]).select(F.col("dst").alias("node")).distinct()
+        last = joined(step, seen, ["node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if last.isEmpty():
             return seen
         seen = seen.union(last).checkpoint()

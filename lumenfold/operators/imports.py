@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.joins import joined
+
 # What an import looks like, by extension (fixed values): pattern, groups (the first that is not empty counts).
 IMPORTS = {
     (".c", ".cpp", ".cc", ".h", ".hpp", ".cxx"): (r"""#\s*include\s*[<"]([^>"]+)[>"]""", (1,)),
@@ -55,22 +57,22 @@ def resolved(names: DataFrame, files: DataFrame) -> DataFrame:
     low = files.select("path", F.lower(F.substring_index("path", "/", -1)).alias("file"), F.lower("path").alias("low"))
     own = low.select("path", "file", _stem(F.col("file")).alias("stem"))
     own = own.select("path", "file", "stem", F.explode(F.array_distinct(F.array("file", "stem"))).alias("key"))
-    hit = keys.join(own, "key")
+    hit = joined(keys, own, ["key"])
     hit = hit.filter((F.col("file") == F.col("base")) | (F.col("stem") == F.col("base")) | (F.col("stem") == F.replace("clean", F.lit("/"), F.lit("."))))
     first = hit.groupBy("name").agg(F.min("path").alias("target"))
-    rest = told.join(first, "name", "left_anti").withColumn("tail", F.replace(F.replace("clean", F.lit("::"), F.lit("/")), F.lit("."), F.lit("/")))
+    rest = joined(told, first, ["name"], "left_anti").withColumn("tail", F.replace(F.replace("clean", F.lit("::"), F.lit("/")), F.lit("."), F.lit("/")))
     rest = rest.filter("tail <> ''").withColumn("last", F.substring_index("tail", "/", -1))
     # a path's stem ends with the name if its own last part ends with the name's last part: suffixes of that part are keys
     stems = low.select("path", _stem(F.col("low")).alias("stem")).withColumn("end", F.substring_index("stem", "/", -1))
     ends = stems.select("path", "stem", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("end"), F.lit(1))), lambda k: F.substring("end", k, F.length("end")))).alias("last"))
-    whole = rest.join(ends, "last").filter(F.col("stem").endswith(F.col("tail"))).groupBy("name").agg(F.min("path").alias("target"))
+    whole = joined(rest, ends, ["last"]).filter(F.col("stem").endswith(F.col("tail"))).groupBy("name").agg(F.min("path").alias("target"))
     return first.unionByName(whole)
 
 
 def edges(files: DataFrame) -> DataFrame:
     """src, dst: files and the project's files that they import, each once; a file's import of itself is left out."""
     names = imported(files)
-    out = names.join(resolved(names, files.select("path")), "name").select(F.col("path").alias("src"), F.col("target").alias("dst"))
+    out = joined(names, resolved(names, files.select("path")), ["name"]).select(F.col("path").alias("src"), F.col("target").alias("dst"))
     return out.filter("src <> dst").distinct()
 
 
@@ -82,5 +84,5 @@ def reversed_edges(arcs: DataFrame) -> DataFrame:
 def scan_set(every: DataFrame, changed: DataFrame, cone: DataFrame) -> DataFrame:
     """path, why: changed files, and files that the change reaches (as affected), sorted by path at the reader's wish."""
     told = changed.select("path", F.lit("changed").alias("why")).distinct()
-    reach = cone.select(F.col("node").alias("path")).join(told, "path", "left_anti").withColumn("why", F.lit("affected"))
-    return told.unionByName(reach.distinct()).join(every.select("path").distinct(), "path", "left_semi")
+    reach = joined(cone.select(F.col("node").alias("path")), told, ["path"], "left_anti").withColumn("why", F.lit("affected"))
+    return joined(told.unionByName(reach.distinct()), every.select("path").distinct(), ["path"], "left_semi")
