@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators import graphs, imports, owasp, relations, reports, scan
 from lumenfold.operators.rules import COMPOSE, CONTAINER, ENDED, INFRASTRUCTURE, OFFICIAL, TAINT
-from lumenfold.plans.registry import query, read, values
+from lumenfold.plans.registry import query, read, spread, values
 from lumenfold.sources import tools
 
 #: Samples that a file has, and how the j-th of a file is chosen.
@@ -109,7 +109,7 @@ def _made(spark: SparkSession, d: str, samples: list[str], separator: str, name:
     chosen = F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda j: F.get(every, ((F.col("p_partkey") * (j + 3) + j * 7) % len(samples)).cast("int")))
     between = f"\n{separator}\n" if separator else "\n"
     text = F.replace(F.concat_ws(between, chosen), F.lit("{k}"), F.col("p_partkey").cast("string"))
-    return read(spark, d, "part").select(F.format_string(name, F.col("p_partkey")).alias("path"), text.alias("content"))
+    return spread(spark, d, "part", "p_partkey").select(F.format_string(name, F.col("p_partkey")).alias("path"), text.alias("content"))
 
 
 def _sql_scan(samples: list[str], separator: str, name: str, rules: list, once: bool, free: bool = False) -> str:
@@ -428,7 +428,7 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
       WHEN 3 THEN concat('import a from "./m', {half}, 'x"\\nconst b = require(''d', ({near}) % 7, '/m', {near}, 'x'')')
       WHEN 4 THEN concat('import "d', ({half}) % 7, '/m', {half}, 'x"\\nimport "m', {near}, 'x"')
       ELSE concat('use m', {half}, 'x\\nmod m', {near}, 'x\\nmod m', p_partkey, 'x') END"""
-    return read(spark, d, "part").select(F.expr(path("p_partkey")).alias("path"), F.expr(text).alias("content"))
+    return spread(spark, d, "part", "p_partkey").select(F.expr(path("p_partkey")).alias("path"), F.expr(text).alias("content"))
 
 
 _SQL_ARCS = f"""path AS (SELECT p_partkey AS k, 'proj/d' || p_partkey % 7 || '/M' || p_partkey || 'x' || {_SQL_ENDINGS}[p_partkey % 6 + 1] AS path FROM part),

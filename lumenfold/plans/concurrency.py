@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.operators.concurrency import concurrency
-from lumenfold.plans.registry import query, read
+from lumenfold.plans.registry import query, spread
 
 
 def _found(spark: SparkSession, d: str, ext: str, lines: list[str]) -> DataFrame:
     """Findings of files whose lines are SQL expressions of k and s."""
-    rows = read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    rows = spread(spark, d, "part", "p_partkey").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
     files = rows.select(F.expr(f"concat('m', k, '{ext}')").alias("path"), F.concat_ws("\n", *map(F.expr, lines)).alias("content"))
     return concurrency(files).select("path", "line", "issue", "confidence", "name")
 

@@ -154,7 +154,7 @@ def d10_local_taint(spark, d):
     bodies = F.array(*[F.lit(b) for b, _ in _FUNCTIONS])
     part = lambda e: F.get(bodies, F.expr(f"cast(({e}) % 5 as int)"))
     text = F.replace(F.concat(part("p_partkey"), F.lit("\n// gap\n"), part("p_partkey * 2 + 1")), F.lit("{k}"), F.col("p_partkey").cast("string"))
-    return local_flow.flows(read(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit(".c")).alias("path"), text.alias("content")))
+    return local_flow.flows(spread(spark, d, "part", "p_partkey").select(F.concat(F.lit("p"), "p_partkey", F.lit(".c")).alias("path"), text.alias("content")))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'MIT and gpl-3.0' WHEN 1 THEN CASE WHEN p_partkey % 8 = 1 THEN 'LGPL' ELSE 'General Public License' END WHEN 2 THEN 'Apache' END AS licence,
