@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.operators.graphs import checkpoints
+from lumenfold.operators.joins import joined
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most_rounds: int = 1000) -> DataFrame:
@@ -25,7 +26,7 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most_round
     last = seed.distinct().checkpoint()
     seen = last
     for _ in range(most_rounds):
-        last = step(last).select(*seed.columns).distinct().join(seen, seed.columns, "left_anti").checkpoint()
+        last = joined(step(last).select(*seed.columns).distinct(), seen, seed.columns, "left_anti").checkpoint()
         if last.isEmpty():
             return seen.checkpoint()
         seen = seen.union(last)
@@ -43,7 +44,7 @@ def closure(edges: DataFrame) -> DataFrame:
     on = _steps(edges)
 
     def step(facts: DataFrame) -> DataFrame:
-        met = facts.withColumnRenamed("dst", "__at").join(on, ["func", "__at"])
+        met = joined(facts.withColumnRenamed("dst", "__at"), on, ["func", "__at"])
         return met.select("func", "src", F.col("__to").alias("dst"))
 
     return fixpoint(edges.select("func", "src", "dst"), step)
@@ -109,8 +110,8 @@ def reaching(edges: DataFrame, defs: DataFrame) -> DataFrame:
     defs = defs.select("func", "node", "var").distinct().checkpoint()
 
     def onward(out: DataFrame) -> DataFrame:
-        met = out.withColumnRenamed("node", "__at").join(on, ["func", "__at"])
+        met = joined(out.withColumnRenamed("node", "__at"), on, ["func", "__at"])
         return met.select("func", "var", "def", F.col("__to").alias("node"))
 
     seed = onward(defs.select("func", "var", F.col("node").alias("def"), "node"))
-    return fixpoint(seed, lambda facts: onward(facts.join(defs, ["func", "node", "var"], "left_anti")))
+    return fixpoint(seed, lambda facts: onward(joined(facts, defs, ["func", "node", "var"], "left_anti")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators import flow
 from lumenfold.operators.graphs import checkpoints
+from lumenfold.operators.joins import joined
 
 # Calls that bring data in from outside, and calls that must not get such data (fixed values).
 SOURCES = ["argv", "getenv", "gets", "fgets", "recv", "recvfrom", "read", "scanf", "fscanf", "sscanf", "getline"]
@@ -86,12 +87,12 @@ def held_behind(statements: DataFrame, edges: DataFrame, most_rounds: int = 1000
     parts = int(statements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = behind = seeds(statements).checkpoint()
     for _ in range(most_rounds):
-        reached = last.select(*keys).distinct().join(arcs, keys).select("func", "to").distinct()
-        coming = behind.join(arcs.join(reached, ["func", "to"]), keys).groupBy("func", F.col("to").alias("block"))
-        moved = coming.agg(F.collect_set(F.struct(*fact)).alias("facts")).join(bodies, keys, "left")
+        reached = joined(last.select(*keys).distinct(), arcs, keys).select("func", "to").distinct()
+        coming = joined(behind, joined(arcs, reached, ["func", "to"]), keys).groupBy("func", F.col("to").alias("block"))
+        moved = joined(coming.agg(F.collect_set(F.struct(*fact)).alias("facts")), bodies, keys, "left")
         out = F.when(F.col("body").isNull(), F.col("facts")).otherwise(_passed(F.col("facts"), F.col("body")))
         told = moved.select(*keys, F.explode(out).alias("f")).select(*keys, "f.*").distinct()
-        last = told.join(behind, [*keys, *fact], "left_anti").checkpoint()
+        last = joined(told, behind, [*keys, *fact], "left_anti").checkpoint()
         if last.isEmpty():
             return behind
         behind = behind.union(last).coalesce(parts)  # partitions don't add up by round
@@ -107,11 +108,11 @@ def tainted_sinks(statements: DataFrame, edges: DataFrame, entries: DataFrame) -
     """
     facts = held_behind(statements, edges)
     sinks = statements.filter("sink is not null").select("func", "block", F.col("line").alias("at"), "sink", F.explode("args").alias("var"))
-    found = sinks.join(facts, ["func", "block", "var"]).distinct()
+    found = joined(sinks, facts, ["func", "block", "var"]).distinct()
     guards = statements.filter("cleans").select("func", F.col("block").alias("dom"), F.explode("defs").alias("var")).distinct()
     over = flow.dominators(edges, entries).withColumnRenamed("node", "block")
-    safe = guards.join(over, ["func", "dom"]).select("func", "block", "var").distinct().withColumn("safe", F.lit(True))
-    return found.join(safe, ["func", "block", "var"], "left").select(
+    safe = joined(guards, over, ["func", "dom"]).select("func", "block", "var").distinct().withColumn("safe", F.lit(True))
+    return joined(found, safe, ["func", "block", "var"], "left").select(
         "func", F.col("at").alias("line"), "sink", "var", F.col("line").alias("source_line"), "source", F.coalesce("safe", F.lit(False)).alias("sanitised")
     )
 
@@ -134,11 +135,11 @@ def tainted_names(functions: DataFrame, calls: DataFrame) -> DataFrame:
     given = calls.filter(F.col("callee").isin(*SOURCES)).select("unit", "func", F.explode("args").alias("arg")).select("unit", "func", plain.alias("var"))
     own = functions.filter(F.col("func").isin(*MAINS)).select("unit", "func", F.explode("params").alias("var")).filter(F.col("var").isin(*FROM_OUTSIDE))
     known = functions.select("unit", F.col("func").alias("callee"), F.posexplode("params").alias("position", "param"))
-    passed = argument_tokens(calls).join(known, ["unit", "callee", "position"])
+    passed = joined(argument_tokens(calls), known, ["unit", "callee", "position"])
     passed = passed.select("unit", F.col("func").alias("__from"), F.col("token").alias("__var"), "callee", "param").distinct().checkpoint()
 
     def step(facts: DataFrame) -> DataFrame:
-        met = facts.select("unit", F.col("func").alias("__from"), F.col("var").alias("__var")).join(passed, ["unit", "__from", "__var"])
+        met = joined(facts.select("unit", F.col("func").alias("__from"), F.col("var").alias("__var")), passed, ["unit", "__from", "__var"])
         return met.select("unit", F.col("callee").alias("func"), F.col("param").alias("var"))
 
     return flow.fixpoint(given.filter("var <> ''").union(own), step)
@@ -152,20 +153,20 @@ def sink_violations(functions: DataFrame, calls: DataFrame, names: DataFrame | N
     names = tainted_names(functions, calls) if names is None else names
     issue = F.create_map(*(F.lit(x) for pair in SINKS.items() for x in pair))[F.col("callee")]
     given = argument_tokens(calls.filter(F.col("callee").isin(*SINKS))).select("unit", "func", "line", issue.alias("issue"), F.col("token").alias("var"))
-    return given.join(names, ["unit", "func", "var"], "left_semi").groupBy("unit", "issue", "line").agg(F.min("func").alias("func"))
+    return joined(given, names, ["unit", "func", "var"], "left_semi").groupBy("unit", "issue", "line").agg(F.min("func").alias("func"))
 
 
 def summaries(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """unit, func, position, issue: which parameters of a function reach a sink's call, directly or through calls."""
     params = functions.select("unit", "func", F.posexplode("params").alias("position", "token"))
-    uses = argument_tokens(calls).withColumnRenamed("position", "given").join(params, ["unit", "func", "token"])
+    uses = joined(argument_tokens(calls).withColumnRenamed("position", "given"), params, ["unit", "func", "token"])
     issue = F.create_map(*(F.lit(x) for pair in SINKS.items() for x in pair))[F.col("callee")]
     direct = uses.filter(F.col("callee").isin(*SINKS)).select("unit", "func", "position", issue.alias("issue"))
     passed = uses.select("unit", "func", "position", F.col("callee").alias("__callee"), F.col("given").alias("__given")).distinct().checkpoint()
 
     def step(facts: DataFrame) -> DataFrame:
         met = facts.select("unit", F.col("func").alias("__callee"), F.col("position").alias("__given"), "issue")
-        return met.join(passed, ["unit", "__callee", "__given"]).select("unit", "func", "position", "issue")
+        return joined(met, passed, ["unit", "__callee", "__given"]).select("unit", "func", "position", "issue")
 
     return flow.fixpoint(direct, step)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.operators import taint
-from lumenfold.plans.registry import query, read, values
+from lumenfold.plans.registry import query, spread, values
 
 _FLOW_SQL = """edges AS (SELECT DISTINCT c_custkey // 12 AS func, c_custkey % 12 AS src, (c_custkey % 12 * 5 + c_nationkey) % 12 AS dst FROM customer
       UNION SELECT c_custkey // 12, c_custkey % 12, (c_custkey + 1) % 12 FROM customer WHERE c_nationkey % 2 = 0)"""
@@ -43,7 +43,7 @@ _FACTS_SQL = """facts(func, block, pos, var, line, source) USING KEY (func, bloc
 
 def made_flow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Statements and edges of functions of twelve blocks."""
-    rows = read(spark, d, "customer")
+    rows = spread(spark, d, "customer", "c_custkey")
     place = ["c_custkey div 12 AS func", "c_custkey % 12 AS block"]
     none = "cast(array() AS array<string>)"
     one = rows.selectExpr(
@@ -103,7 +103,7 @@ _NAMES_SQL = f"""names AS (
 
 def made_calls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Functions and calls of units of up to forty calls."""
-    rows = read(spark, d, "part")
+    rows = spread(spark, d, "part", "p_partkey")
     func = "CASE WHEN p_partkey % 8 = 0 THEN 'main' ELSE 'f' || (p_partkey % 8) END AS func"
     functions = rows.selectExpr("p_partkey div 40 AS unit", func, "CASE WHEN p_partkey % 8 = 0 THEN array('argc', 'argv') ELSE array('a', 'b' || (p_partkey % 8), 'c') END AS params")
     callee = "CASE p_size % 7 WHEN 0 THEN 'recv' WHEN 1 THEN 'system' WHEN 2 THEN 'memcpy' ELSE 'f' || (p_partkey * p_size % 8) END AS callee"
