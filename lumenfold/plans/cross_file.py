@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.operators import cross_file, taint
-from lumenfold.plans.registry import query, read
+from lumenfold.plans.registry import query, read, spread
 from lumenfold.sources.text import lines
 
 _MADE_SQL = """m AS (SELECT p_partkey AS k, p_size AS s, p_partkey - 3 * (1 + p_size % 3) AS t, p_partkey % 3 AS e,
@@ -34,7 +34,7 @@ def made_files(spark: SparkSession, d: str) -> DataFrame:
     sink, back = pick("'system(a);'", "'eval(a)'", "'eval(a);'"), pick("""'return getenv("X");'""", "'return input()'", "'return req.body;'")
     body = f"CASE p_size % 4 WHEN 0 THEN {sink} WHEN 1 THEN {back} WHEN 2 THEN 'return 0' ELSE concat({sink}, ' ', {back}) END"
     text = f"concat_ws('\\n', {head}, {go}, {taken}, concat('  f', {t}, '(v', p_size div 2 % 2, ', 1)'), '', {own}, {body}, '')"
-    return read(spark, d, "part").select(F.expr(path).alias("path"), F.expr(text).alias("content"))
+    return spread(spark, d, "part", "p_partkey").select(F.expr(path).alias("path"), F.expr(text).alias("content"))
 
 
 @query(f"""WITH {_MADE_SQL}
