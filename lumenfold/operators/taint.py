@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.operators import flow
-from lumenfold.operators.graphs import checkpoints
 from lumenfold.operators.joins import joined
 
 # Calls that bring data in from outside, and calls that must not get such data (fixed values).
@@ -30,28 +33,44 @@ MAINS, FROM_OUTSIDE = ["main", "wmain"], ["argv", "argc"]
 # (fixed values).
 ASSIGNS, SEEDS, CLEANS = ["assign", "decl"], ["assign", "decl", "call"], ["assign", "call"]
 
-_FACT = "array<struct<var:string,line:bigint,source:string>>"
-
-
-def _within(array: Column, value: Column) -> Column:
-    return F.coalesce(F.array_contains(array, value), F.lit(False))
+#: Functions that a task holds as Python values at a time.
+SLICE = 256
 
 
-def _passed(facts: Column, statements: Column) -> Column:
-    """What holds behind a block's statements, in order, of what holds before them.
+def _passed(held: set[tuple], body: list[dict]) -> set[tuple]:
+    """What holds behind a block's statements, in order, of what holds before them: facts (var, line, source).
 
     A statement that gives variables a value from tainted ones taints them, besides what they had; from others it ends
     their taint; so does a sanitiser's call.
     """
-
-    def over(held: Column, s: Column) -> Column:
-        used = F.filter(held, lambda f: _within(s["uses"], f["var"]))
-        spread = F.flatten(F.transform(used, lambda f: F.transform(s["defs"], lambda d: F.struct(d.alias("var"), f["line"].alias("line"), f["source"].alias("source")))))
-        kept = F.filter(held, lambda f: ~_within(s["defs"], f["var"]))
-        told = F.when(~s["assigns"], held).when(F.size(used) > 0, F.array_union(held, spread)).otherwise(kept)
-        return F.when(s["ends"], F.filter(told, lambda f: ~_within(s["defs"], f["var"]))).otherwise(told)
-
-    return F.aggregate(statements, facts.cast(_FACT), over)
+    for s in body:
+        if s["assigns"]:
+            used = [f for f in held if f[0] is not None and f[0] in s["uses"]]
+            held = held | {(d, *f[1:]) for f in used for d in s["defs"]} if used else {f for f in held if f[0] is None or f[0] not in s["defs"]}
+        if s["ends"]:
+            held = {f for f in held if f[0] is None or f[0] not in s["defs"]}
+    return held
+
+
+def _solved(seeds: list[dict], arcs: list[dict] | None, bodies: list[dict] | None) -> dict:
+    """block -> facts at its end: blocks that new facts reach are moved through again until none are new."""
+    before, onward = defaultdict(list), defaultdict(list)
+    for arc in arcs or ():
+        if arc["src"] is not None and arc["dst"] is not None:
+            before[arc["dst"]].append(arc["src"])
+            onward[arc["src"]].append(arc["dst"])
+    own, behind = {b["block"]: b["body"] for b in bodies or ()}, defaultdict(set)
+    for f in seeds:
+        behind[f["block"]].add((f["var"], f["line"], f["source"]))
+    waiting = dict.fromkeys(to for block in behind for to in onward.get(block, ()))
+    while waiting:
+        block = next(iter(waiting))
+        del waiting[block]
+        new = _passed({f for b in before[block] for f in behind.get(b, ())}, own.get(block, ())) - behind.get(block, set())
+        if new:
+            behind[block] |= new
+            waiting |= dict.fromkeys(onward.get(block, ()))
+    return behind
 
 
 def blocks_of(statements: DataFrame) -> DataFrame:
@@ -71,32 +90,32 @@ def seeds(statements: DataFrame) -> DataFrame:
     return told.select("func", "block", F.explode(names).alias("var"), F.col("line").cast("long").alias("line"), "source").distinct()
 
 
-def held_behind(statements: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def held_behind(statements: DataFrame, edges: DataFrame) -> DataFrame:
     """func, block, var, line, source: which variables are tainted at each block's end, by which sources.
 
     statements: func, block, pos, line, kind, defs, uses, source, cleans; edges: func, src, dst (blocks). The least
     fixpoint: a block's facts are those behind its predecessors, moved through its statements; what it brings in itself
-    holds from its end on. In a round only blocks that new facts reach are moved through again, with all facts that
-    reach them, since a fact may survive an assignment thanks to another; only facts not known before go on. So rounds
-    follow the longest path without a cycle, all functions go at once, and a row holds one block's facts.
+    holds from its end on. A function's blocks, edges and seeds meet in one row and are solved there, as no two functions
+    meet: no rounds over all of them, whose plans the driver would hold. A function must fit a task.
     """
-    checkpoints(statements.sparkSession)
-    fact, keys = ["var", "line", "source"], ["func", "block"]
-    bodies = blocks_of(statements).checkpoint()
-    arcs = edges.select("func", F.col("src").alias("block"), F.col("dst").alias("to")).distinct().checkpoint()
-    parts = int(statements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    last = behind = seeds(statements).checkpoint()
-    for _ in range(most_rounds):
-        reached = joined(last.select(*keys).distinct(), arcs, keys).select("func", "to").distinct()
-        coming = joined(behind, joined(arcs, reached, ["func", "to"]), keys).groupBy("func", F.col("to").alias("block"))
-        moved = joined(coming.agg(F.collect_set(F.struct(*fact)).alias("facts")), bodies, keys, "left")
-        out = F.when(F.col("body").isNull(), F.col("facts")).otherwise(_passed(F.col("facts"), F.col("body")))
-        told = moved.select(*keys, F.explode(out).alias("f")).select(*keys, "f.*").distinct()
-        last = joined(told, behind, [*keys, *fact], "left_anti").checkpoint()
-        if last.isEmpty():
-            return behind
-        behind = behind.union(last).coalesce(parts)  # partitions don't add up by round
-    raise RuntimeError(f"no fixpoint in {most_rounds} rounds")
+    brought = seeds(statements)
+    kinds = dict(brought.dtypes)
+    one = brought.groupBy("func").agg(F.collect_list(F.struct("block", "var", "line", "source")).alias("seeds"))
+    arcs = edges.select("func", "src", "dst").distinct().groupBy("func").agg(F.collect_list(F.struct("src", "dst")).alias("arcs"))
+    bodies = blocks_of(statements).groupBy("func").agg(F.collect_list(F.struct("block", "body")).alias("bodies"))
+    columns = ["func", "block", "var", "line", "source"]
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = [batch.schema.field("func").type, *(batch.schema.field("seeds").type.value_type.field(c).type for c in columns[1:])]
+            for start in range(0, batch.num_rows, SLICE):
+                told = []
+                for row in batch.slice(start, SLICE).to_pylist():
+                    told += [(row["func"], block, *f) for block, facts in _solved(row["seeds"], row["arcs"], row["bodies"]).items() for f in facts]
+                yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in told], kind) for k, kind in enumerate(types)], names=columns)
+
+    whole = joined(joined(one, arcs, ["func"], "left"), bodies, ["func"], "left")
+    return whole.mapInArrow(solved, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def tainted_sinks(statements: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
