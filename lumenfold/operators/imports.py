@@ -18,8 +18,6 @@ IMPORTS = {
 }
 # Languages whose module names are dotted paths (fixed values).
 DOTTED = [".py", ".java"]
-#: Only so many characters at a file's beginning are searched (a fixed rule of the graph, not a cap on its size).
-HEAD = 65536
 
 
 def extension(path: Column) -> Column:
@@ -27,8 +25,8 @@ def extension(path: Column) -> Column:
 
 
 def imported(files: DataFrame) -> DataFrame:
-    """path, name: the distinct names that each file (path, content) imports; dots become slashes where they are paths."""
-    ext, text = extension(F.col("path")), F.left("content", F.lit(HEAD))
+    """path, name: the distinct names that each file (path, content) imports, wherever in it; dots become slashes where they are paths."""
+    ext, text = extension(F.col("path")), F.col("content")
     cases = F.lit(None).cast("array<string>")
     for exts, (pattern, groups) in IMPORTS.items():
         found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups]

@@ -105,6 +105,18 @@ def test_names_resolve_to_the_first_file(spark):
     assert sorted(map(tuple, told)) == [("Z/Util.c", "a/util.py"), ("q.py", "Z/Util.c"), ("q.py", "a/deep/core.py")]
 
 
+def test_a_change_reaches_files_that_import_at_the_end_of_long_texts(spark):
+    from lumenfold.operators import graphs
+
+    far = "x = 1\n" * 20_000
+    files = [("a.py", far), ("b.py", far + "import a"), ("c.js", far + "import b from './b'"), ("d.c", far + '#include "c.js"'), ("e.go", far + 'import "d"'), ("f.rs", far + "use e;"), ("g.java", far + "import f;"), ("h.py", far + "from none import a")]
+    rows = spark.createDataFrame(files, "path string, content string")
+    changed = spark.createDataFrame([("a.py",)], "path string")
+    cone = graphs.cone(imports.reversed_edges(imports.edges(rows)), changed.withColumnRenamed("path", "node"))
+    told = imports.scan_set(rows, changed, cone).collect()
+    assert sorted(map(tuple, told)) == [("a.py", "changed"), *((p, "affected") for p in ("b.py", "c.js", "d.c", "e.go", "f.rs", "g.java"))]
+
+
 def test_local_taint_of_odd_functions(spark):
     from lumenfold.operators import local_flow
 
