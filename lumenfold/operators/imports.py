@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators.joins import joined
 
-# What an import looks like, by extension (fixed values): pattern, groups (the first that is not empty counts).
+# A require, and one that holds no end of a line.
+_REQUIRE = r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)"""
+_REQUIRE_IN_LINE = r"""require[ \t\f\x0B]*\([ \t\f\x0B]*['"][^'"\n\r\u0085\u2028\u2029]+['"][ \t\f\x0B]*\)"""
+# An import word without a from in the rest of its line tells that none behind it has one: the rest is taken at once, for its
+# requires (group 2), so that a long line is not searched again from each such word. It ends before what goes past the line.
+_SCRIPT = rf"""import\s(?:.*?from\s+['"]([^'"]+)['"]|((?:{_REQUIRE_IN_LINE}|(?!{_REQUIRE}|import[\n\r]).)*+))|{_REQUIRE}"""
+# What an import looks like, by extension (fixed values): pattern, groups (those that are not empty are names). An include that
+# nothing closes tells that none behind it is closed, so the pattern goes to the end of the text at once.
 IMPORTS = {
-    (".c", ".cpp", ".cc", ".h", ".hpp", ".cxx"): (r"""#\s*include\s*[<"]([^>"]+)[>"]""", (1,)),
+    (".c", ".cpp", ".cc", ".h", ".hpp", ".cxx"): (r"""#\s*include\s*[<"](?:([^>"]++)[>"]|[^>"]*+\z)""", (1,)),
     (".py",): (r"(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", (1, 2)),
     (".java",): (r"import\s+(?:static\s+)?([\w.]+);", (1,)),
     (".go",): (r'"([^"]+)"', (1,)),
-    (".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx"): (r"""(?:import\s.*?from\s+['"]([^'"]+)['"]|require\s*\(\s*['"]([^'"]+)['"]\s*\))""", (1, 2)),
+    (".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx"): (_SCRIPT, (1, 4)),
     (".rs",): (r"(?:use\s+([\w:]+)|mod\s+(\w+))", (1, 2)),
 }
 # Languages whose module names are dotted paths (fixed values).
@@ -30,7 +37,9 @@ def imported(files: DataFrame) -> DataFrame:
     cases = F.lit(None).cast("array<string>")
     for exts, (pattern, groups) in IMPORTS.items():
         found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups]
-        names = found[0] if len(found) == 1 else F.zip_with(*found, lambda a, b: F.when(a != "", a).otherwise(b))
+        if pattern == _SCRIPT:
+            found += [F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda rest: F.regexp_extract_all(rest, F.lit(_REQUIRE), F.lit(1))))]
+        names = F.concat(*found)
         names = F.transform(names, lambda n: F.replace(n, F.lit("."), F.lit("/"))) if set(exts) <= set(DOTTED) else names
         cases = F.when(ext.isin(*exts), F.array_distinct(names)).otherwise(cases)
     return files.select("path", F.explode(cases).alias("name")).filter("name <> ''")

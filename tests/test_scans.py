@@ -117,6 +117,37 @@ def test_a_change_reaches_files_that_import_at_the_end_of_long_texts(spark):
     assert sorted(map(tuple, told)) == [("a.py", "changed"), *((p, "affected") for p in ("b.py", "c.js", "d.c", "e.go", "f.rs", "g.java"))]
 
 
+def test_edges_of_long_lines_and_texts(spark):
+    words, far = "import x, " * 100_000, "x = 1;\n" * 20_000
+    files = [(f"t/{p}", "") for p in ("a.py", "b.py", "c.py", "d.py", "e.py")]
+    files += [("long.js", words + "require('a')" + words + "require(\n'b')\nimport c from 'c'\n" + words + "import\nd from 'd'"), ("long.c", far + '#include "a.py"\n' + "#include <b\n" * 70_000), ("long.go", far + '"c"'), ("long.py", far + "import d\n" + far + "from e import x")]
+    told = imports.edges(spark.createDataFrame(files, "path string, content string")).collect()
+    want = [("long.js", c) for c in "abcd"] + [("long.c", "a"), ("long.go", "c"), ("long.py", "d"), ("long.py", "e")]
+    assert sorted(map(tuple, told)) == sorted((p, f"t/{c}.py") for p, c in want)
+
+
+def test_imports_of_odd_scripts_and_includes(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    plain = {
+        ".js": r"""(?:import\s.*?from\s+['"]([^'"]+)['"]|require\s*\(\s*['"]([^'"]+)['"]\s*\))""",
+        ".c": r"""#\s*include\s*[<"]([^>"]+)[>"]()""",
+    }
+    parts = {
+        ".js": ["import", " ", "\n", "\r", "\u2028", "from", "'", '"', "require", "(", ")", "x", "from 'a'", "require('b')", "import ", "from\n\"c\"", "require(\n'd'\n)", "import\n", "from 'import r from'"],
+        ".c": ["#", "include", " ", "\n", "<", ">", '"', "#include", "#include <a", '#include "b', "x"],
+    }
+    draw = random.Random(4)
+    files = [(f"{i}{e}", "".join(draw.choice(parts[e]) + draw.choice(["", "", str(i % 9)]) for _ in range(draw.randint(2, 40)))) for i in range(4000) for e in parts]
+    rows = spark.createDataFrame(files, "path string, content string")
+    found = [rows.filter(F.col("path").endswith(e)).select("path", F.explode(F.regexp_extract_all("content", F.lit(p), F.lit(g))).alias("name")) for e, p in plain.items() for g in (1, 2)]
+    want = {tuple(r) for f in found for r in f.filter("name <> ''").collect()}
+    told = [tuple(r) for r in imports.imported(rows).collect()]
+    assert sorted(told) == sorted(want) and len(want) > 5000
+
+
 def test_local_taint_of_odd_functions(spark):
     from lumenfold.operators import local_flow
 
